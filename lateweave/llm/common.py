@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space other than the blank: words are [^\x20\x09-\x0D]+.
-OTHER_SPACE = "\t\n\x0b\x0c\r"
+#: Words are [^\\x20\\x09-\\x0D]+; what parts them, and one character of a word, as Java patterns.
+SPACES = r"[\x20\x09-\x0D]+"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +55,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; null text: none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), OTHER_SPACE, " " * len(OTHER_SPACE))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def shuffle_width(spark: SparkSession) -> int:
