@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from ..sharding import place
+from .crc import crc_sql
 
 NAME = "op9_rendezvous_sharding"
 SHARDS = 40
@@ -17,27 +18,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-#: DuckDB has no crc32: the CRC is folded over the bytes with the 16-entry nibble table of polynomial 0xEDB88320.
-_NIBBLES = [0]
-for _i in range(1, 16):
-    _c = _i
-    for _ in range(4):
-        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
-    _NIBBLES.append(_c)
-
-
-
-def _step(c: str) -> str:
-    return f"xor(({c}) >> 4, list_extract({_NIBBLES}, (({c}) & 15) + 1))"
-
-
 ORACLE = f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
-crc AS (
-  SELECT doc_id, t, xor(4294967295, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
-    lambda c, b: {_step(_step("xor(c, b)"))}))::BIGINT AS text_crc32
-  FROM docs),
+WITH crc AS (SELECT doc_id, coalesce(text, '') AS t, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
 draws AS (
   SELECT doc_id, i, -1.0 / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || i), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(16**13)}) AS s
   FROM (SELECT DISTINCT doc_id FROM documents), range(0, {SHARDS + 1}) r(i)),
