@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,8 @@ def words_of(text: Column) -> Column:
 def shuffle_width(spark: SparkSession) -> int:
     """spark.sql.shuffle.partitions as a number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def task_rows() -> Iterator[int]:
+    """Numbers that no other task of the job gives out; a task's rerun gives the same ones."""
+    return itertools.count(TaskContext.get().partitionId() << 33)
