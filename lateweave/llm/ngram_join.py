@@ -31,6 +31,7 @@ from pyspark.sql import Window
 
 from .common import materialize
 from .connected import components
+from .word_hash import BASE, mix, word_hashes
 
 
 @dataclass(frozen=True)
@@ -50,56 +51,19 @@ class JoinParams:
     broadcast_rows: int = 500_000
 
 
-_M1, _M2, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _M1
-    h = (h ^ (h >> np.uint64(33))) * _M2
-    return h ^ (h >> np.uint64(33))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_B, inverse))
-
-
-_POWERS = _powers(1 << 12)
-
-
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a byte string, A-Z lower-cased, and where they start."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    low = (data + ((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint64) + np.uint64(1)
-    # A byte's power is its place in a block of the table's length; a word that crosses blocks is added up by itself.
-    size = len(_POWERS[0]) - 1
-    at = np.arange(len(data)) % size
-    total = np.concatenate([[np.uint64(0)], np.cumsum(low * _POWERS[0][at])])
-    hashes = _mix((total[stop] - total[start]) * _POWERS[1][start % size] + (stop - start).astype(np.uint64))
-    for i in np.flatnonzero(start // size != (stop - 1) // size):
-        word, value = low[start[i] : stop[i]], np.uint64(0)
-        for k in range(0, len(word), size):
-            part = word[k : k + size]
-            value = value + (part * _POWERS[0][: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(int(_B), k, 1 << 64))
-        hashes[i] = _mix(np.array([value + np.uint64(len(word))]))[0]
-    return hashes, start
-
-
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text; fewer words than n: the whole sequence as one; no words: empty."""
     out: list[np.ndarray] = []
     with np.errstate(over="ignore"):
         for text in texts:
-            words, _ = _word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
+            words = word_hashes(text)[0]
             k = min(n, len(words))
             if not k:
                 out.append(np.zeros(0, np.uint64))
                 continue
             h = np.full(len(words) - k + 1, np.uint64(k))
             for i in range(k):
-                h = _mix(h * _B + words[i : len(words) - k + 1 + i])
+                h = mix(h * BASE + words[i : len(words) - k + 1 + i])
             out.append(np.unique(h))
     return out
 
@@ -111,13 +75,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def class_of(s: np.ndarray) -> int:
     """A 64-bit name of a non-empty set, as a signed number."""
     with np.errstate(over="ignore"):
-        return int(_mix(s ^ _mix(np.arange(1, len(s) + 1, dtype=np.uint64))).sum(dtype=np.uint64)) - (1 << 63)
+        return int(mix(s ^ mix(np.arange(1, len(s) + 1, dtype=np.uint64))).sum(dtype=np.uint64)) - (1 << 63)
 
 
 def _group_of(head: np.ndarray, n: int) -> int:
     """A 64-bit name of a prefix and a size."""
     with np.errstate(over="ignore"):
-        return int(_mix(_mix(head ^ _mix(np.arange(1, len(head) + 1, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]) - (1 << 63)
+        return int(mix(mix(head ^ mix(np.arange(1, len(head) + 1, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]) - (1 << 63)
 
 
 def _sampled(p: JoinParams):
