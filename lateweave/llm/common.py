@@ -69,3 +69,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def task_rows() -> Iterator[int]:
     """Numbers that no other task of the job gives out; a task's rerun gives the same ones."""
     return itertools.count(TaskContext.get().partitionId() << 33)
+
+
+#: Rows of a few bytes each up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
