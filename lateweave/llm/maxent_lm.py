@@ -17,6 +17,7 @@ the bounded table that workers hold are joined by a shuffle.
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,30 +29,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, task_rows
-from .word_hash import mix, word_hashes
+from .word_hash import hash_bytes, mix
 
 
 @dataclass(frozen=True)
 class LmParams:
     #: Classes of frequent words and words in each.
-    frequent_classes: int = 32
-    class_words: int = 64
-    #: Classes of the other words.
-    suffix_classes: int = 48
+    frequent_classes: int = 24
+    class_words: int = 40
+    #: Classes of the other words, at most 64.
+    suffix_classes: int = 24
     #: Rows of either weight table, a power of 2.
     buckets: int = 1 << 13
     #: Word counts that workers hold (sorted arrays of 16 bytes a word); others are joined.
     held_counts: int = 1 << 18
     #: Training rounds; each takes one position in ``stride`` of every training document, at another offset.
-    rounds: int = 2
-    stride: int = 6
+    rounds: int = 1
+    stride: int = 3
+    #: Weights stay within this, so that sums of them have exponentials.
+    most: float = 15.0
     minibatch: int = 2048
     rate: float = 0.25
-    #: Tokens to a scoring chunk.
-    chunk: int = 1 << 13
+    #: Bytes of text to a chunk: its arrays fit a core's cache.
+    chunk: int = 1 << 14
 
 
-_END = np.uint64(0x452821E638D01377)
+#: The low bits of a token's number are its suffix class.
+_SUFFIX = np.uint64(63)
+_END = np.uint64(0x452821E638D01377) & ~_SUFFIX
 _LOG10 = math.log(10)
 _FEATURES = 4
 
@@ -60,34 +65,31 @@ def _held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def _tokens(text: str | None, p: LmParams) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words and the end, and the suffix class of each."""
-    h, tail = word_hashes(text)
-    with np.errstate(over="ignore"):
-        suffix = (mix(tail.astype(np.uint64) + np.uint64(1)) % np.uint64(p.suffix_classes)).astype(np.int16)
-    return np.append(h, _END), np.append(suffix, np.int16(0))
-
-
-def _chunks(texts: list[str | None], p: LmParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """Consecutive documents of about p.chunk tokens: hashes, suffix classes, document number of each token, first and last + 1 document."""
-    held, first, size = [], 0, 0
+def _chunks(texts: list[str | None], p: LmParams) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Consecutive documents of about p.chunk bytes: tokens (words, then one end each), document number of each token, first and last + 1 document."""
+    held: list[bytes] = []
+    first, size = 0, 0
     for i, text in enumerate(texts):
-        held.append(_tokens(text, p))
-        size += len(held[-1][0])
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
         if size >= p.chunk or i == len(texts) - 1:
-            doc = np.repeat(np.arange(first, i + 1), [len(h) for h, _ in held])
-            yield np.concatenate([h for h, _ in held]), np.concatenate([s for _, s in held]), doc, first, i + 1
+            h, tail, start = hash_bytes(b"\n".join(held))
+            with np.errstate(over="ignore"):
+                h = (h & ~_SUFFIX) | (mix(tail.astype(np.uint64) + np.uint64(1)) % np.uint64(p.suffix_classes))
+            # A document's words end where the next one's bytes begin.
+            ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))
+            tokens = np.insert(h, ends, _END)
+            yield tokens, np.repeat(np.arange(first, i + 1), np.diff(np.concatenate([[0], ends])) + 1), first, i + 1
             held, first, size = [], i + 1, 0
 
 
 def _counted(p: LmParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_tokens(t, p) for t in batch.column(0).to_pylist()]
-            if not parts:
-                continue
-            h, at, n = np.unique(np.concatenate([x for x, _ in parts]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate([s for _, s in parts])[at]), pa.array(n)], ["h", "suffix", "c"])
+            parts = [tokens for tokens, _, _, _ in _chunks(batch.column(0).to_pylist(), p)]
+            if parts:
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
 
     return run
 
@@ -114,18 +116,34 @@ class LmModel:
     by_class: np.ndarray
     by_word: np.ndarray
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each token among the held ones, and whether it is there: by a direct table first, the rest by search."""
+        if not len(self.held):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        bits = np.uint64(max(1, 4 * len(self.held)).bit_length())
+        direct = self.__dict__.get("_direct")
+        if direct is None:
+            direct = np.zeros(1 << int(bits), np.int32)
+            direct[(self.held >> np.uint64(64 - int(bits))).astype(np.int64)] = np.arange(len(self.held))
+            self.__dict__["_direct"] = direct
+        at = direct[(h >> np.uint64(64 - int(bits))).astype(np.int64)].astype(np.int64)
+        there = self.held[at] == h
+        rest = np.flatnonzero(~there)
+        at[rest], there[rest] = _look(self.held, h[rest])
+        return at, there
+
 
 def count_words(train: DataFrame, p: LmParams, text: str = "text") -> DataFrame:
-    """(h, suffix, c) of every distinct training token."""
-    rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted(p), "h long, suffix short, c long")
-    return materialize(rows.groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "lm-counts")
+    """(h, c) of every distinct training token."""
+    rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted(p), "h long, c long")
+    return materialize(rows.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 def _start(counts: DataFrame, p: LmParams) -> LmModel:
-    by_suffix = {r["suffix"]: (r["n"], r["v"]) for r in counts.groupBy("suffix").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    by_suffix = {r["suffix"]: (r["n"], r["v"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(63)).alias("suffix")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     top = counts.orderBy(F.desc("c"), "h").limit(p.held_counts).toArrow()
-    h, suffix, c = (top[x].to_numpy() for x in ("h", "suffix", "c"))
-    h = h.view(np.uint64)
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    suffix = (h & _SUFFIX).astype(np.int64)
     m = min(len(h), p.frequent_classes * p.class_words)
     rank, order = np.arange(m), np.argsort(h[:m])
     n = np.zeros(p.suffix_classes)
@@ -159,15 +177,16 @@ def _look(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-def _contexts(m: LmModel, h: np.ndarray, suffix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(m: LmModel, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class and place of every token (place -1: not a frequent word), and the hashes of its features."""
     p = m.params
+    suffix = (h & _SUFFIX).astype(np.int64)
     at, frequent = _look(m.words, h)
     number = np.where(frequent, m.number[at] if len(m.words) else 0, -1)
     cls = np.where(frequent, number // p.class_words, p.frequent_classes + suffix)
     place = np.where(frequent, number % p.class_words, -1)
     # A word as history: its number if frequent, else its suffix class; 0: before the text.
-    name = np.where(frequent, number + 1 + p.suffix_classes, suffix.astype(np.int64) + 1).astype(np.uint64)
+    name = np.where(frequent, number + 1 + p.suffix_classes, suffix + 1).astype(np.uint64)
     past = []
     for k in (1, 2, 3):
         x = np.zeros(len(h), np.uint64)
@@ -183,42 +202,49 @@ def _rows(features: np.ndarray, p: LmParams, cls: np.ndarray | None = None) -> n
         return ((mix(features + np.uint64(0x9E3779B97F4A7C15) * (cls.astype(np.uint64) + np.uint64(1))) if cls is not None else features) & np.uint64(p.buckets - 1)).astype(np.int64)
 
 
-def _softmax(base: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Probabilities (tokens, width)."""
-    x = table[rows[0]]
+def _powered(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits (tokens, width), their sums, and each token's logit at its target."""
+    x = table.take(rows[0], 0)
     for r in rows[1:]:
-        x += table[r]
+        x += table.take(r, 0)
     x += base
-    x -= x.max(1, keepdims=True)
+    at = x[np.arange(len(target)), target]
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    return x, x.sum(1), at
+
+
+def _gradient(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    x, total, _ = _powered(base, table, rows, target)
+    x /= total[:, None]
+    x[np.arange(len(target)), target] -= 1
     return x
 
 
-def _update(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+def _log10_prob(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    _, total, at = _powered(base, table, rows, target)
+    return (at - np.log(total)).astype(np.float64) / _LOG10
+
+
+def _update(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray, p: LmParams) -> None:
     """One AdaGrad step on the rows of a minibatch; a row has one step size."""
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    total = np.add.reduceat(grad[order % grad.shape[0]], first, axis=0)
+    total = np.add.reduceat(grad.take(order % grad.shape[0], 0), first, axis=0)
     at = ordered[first]
     square[at] += (total * total).mean(1)
-    table[at] -= (rate / np.sqrt(square[at] + 1e-6))[:, None] * total
+    table[at] = np.clip(table[at] - (p.rate / np.sqrt(square[at] + 1e-6))[:, None] * total, -p.most, p.most)
 
 
 def _step(m: LmModel, squares: tuple[np.ndarray, np.ndarray], cls: np.ndarray, place: np.ndarray, features: np.ndarray) -> None:
     p = m.params
     rows = _rows(features, p)
-    grad = _softmax(m.class_base, m.by_class, rows)
-    grad[np.arange(len(cls)), cls] -= 1
-    _update(m.by_class, squares[0], rows, grad, p.rate)
+    _update(m.by_class, squares[0], rows, _gradient(m.class_base, m.by_class, rows, cls), p)
     own = np.flatnonzero(place >= 0)
     if len(own):
         rows = _rows(features[:, own], p, cls[own])
-        grad = _softmax(m.word_base[cls[own]], m.by_word, rows)
-        grad[np.arange(len(own)), place[own]] -= 1
-        _update(m.by_word, squares[1], rows, grad, p.rate)
+        _update(m.by_word, squares[1], rows, _gradient(m.word_base[cls[own]], m.by_word, rows, place[own]), p)
 
 
 _BLOCKS = 16
@@ -228,12 +254,12 @@ def _trained(model, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
         p = m.params
-        m = LmModel(**{**m.__dict__, "by_class": m.by_class.copy(), "by_word": m.by_word.copy()})
+        m = dataclasses.replace(m, by_class=m.by_class.copy(), by_word=m.by_word.copy())
         squares = np.full(p.buckets, 0.05, np.float32), np.full(p.buckets, 0.05, np.float32)
         seen, wait = 0, []
         for batch in batches:
-            for h, suffix, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
-                cls, place, features = _contexts(m, h, suffix, doc)
+            for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
+                cls, place, features = _contexts(m, h, doc)
                 at = np.arange(number % p.stride, len(h), p.stride)
                 wait.append((cls[at], place[at], features[:, at]))
                 if sum(len(x[0]) for x in wait) >= p.minibatch:
@@ -284,7 +310,7 @@ def train(docs: DataFrame, counts: DataFrame, p: LmParams, text: str = "text") -
         done = done.toArrow().sort_by("block")
         if done.num_rows:
             whole = np.concatenate([np.frombuffer(x, np.float16) for x in done["w"].to_pylist()]).astype(np.float32).reshape(p.buckets, -1)
-            m = LmModel(**{**m.__dict__, "by_class": np.ascontiguousarray(whole[:, :classes]), "by_word": np.ascontiguousarray(whole[:, classes:])})
+            m = dataclasses.replace(m, by_class=np.ascontiguousarray(whole[:, :classes]), by_word=np.ascontiguousarray(whole[:, classes:]))
         shared.destroy()
     return m
 
@@ -296,30 +322,28 @@ def _scored(model):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             n = np.zeros((4, len(texts)))
-            rare_h: list[np.ndarray] = []
-            rare_n: list[np.ndarray] = []
-            for h, suffix, doc, first, last in _chunks(texts, p):
-                at, held = _look(m.held, h)
+            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for h, doc, first, last in _chunks(texts, p):
+                at, held = m.find(h)
                 c = np.where(held, m.held_c[at] if len(m.held) else 0, 0)
                 half = np.where(held, np.log10(c + 0.5), 0.0)
-                cls, place, features = _contexts(m, h, suffix, doc)
-                probs = _softmax(m.class_base, m.by_class, _rows(features, p))
-                value = np.log(probs[np.arange(len(h)), cls].astype(np.float64)) / _LOG10
-                own = place >= 0
-                if own.any():
-                    inner = _softmax(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]))
-                    value[own] += np.log(inner[np.arange(len(inner)), place[own]].astype(np.float64)) / _LOG10
+                cls, place, features = _contexts(m, h, doc)
+                value = _log10_prob(m.class_base, m.by_class, _rows(features, p), cls)
+                own, other = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+                if len(own):
+                    value[own] += _log10_prob(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]), place[own])
                 # The other words: (c + 0.5) over their class; of words not held the count comes later.
-                value[~own] += half[~own] - m.suffix_norm[suffix[~own]] / _LOG10
-                for k, x in enumerate((np.ones(len(h)), held, half, value)):
+                value[other] += half[other] - m.suffix_norm[(h[other] & _SUFFIX).astype(np.int64)] / _LOG10
+                for k, x in enumerate((None, held, half, value)):
                     n[k, first:last] = np.bincount(doc - first, x, last - first)
                 rest = np.flatnonzero(~held)
-                for d in np.split(rest, np.searchsorted(doc[rest], np.arange(first + 1, last))):
-                    u, k = np.unique(h[d], return_counts=True)
-                    rare_h.append(u.view(np.int64))
-                    rare_n.append(k)
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in rare_h])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(lengths, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (rare_h, rare_n)]
+                rest = rest[np.lexsort((h[rest], doc[rest]))]
+                x, d = h[rest], doc[rest]
+                new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])])) if len(rest) else rest
+                rare.append((x[new].view(np.int64), np.diff(np.append(new, len(rest))), d[new]))
+            h, k, d = (np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rare)]) for i in range(3))
+            lengths = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(texts)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(lengths, pa.array(x)) for x in (h, k)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([next(numbers) for _ in texts], pa.int64()), *batch.columns[:2], pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), pa.array(n[3]), *lists],
                 ["row", "key", "held_out", "n_tokens", "held", "base", "model", "h", "k"],

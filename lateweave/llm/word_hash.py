@@ -18,31 +18,40 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, inverse))
 
 
-_POWERS = _powers(1 << 12)
+_POWERS = _powers(1 << 18)
 
 
 def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of a text's words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and each word's last two bytes (uint16)."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    h, tail, _ = hash_bytes((text or "").encode("utf-8", "surrogatepass"))
+    return h, tail
+
+
+def hash_bytes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes(), and where the words start."""
     with np.errstate(over="ignore"):
-        return _hashed(data)
+        return _hashed(np.frombuffer(text, np.uint8))
 
 
-def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    low = (data + ((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint64) + np.uint64(1)
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = np.ones(len(data) + 2, bool)
+    np.less_equal(data - np.uint8(9), 4, out=space[1:-1])
+    space[1:-1] |= data == 32
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, stop = edge[::2], edge[1::2]
+    low = data + ((data - np.uint8(65)) <= 25) * np.uint8(32)
     # A byte's power is its place in a block of the table's length; a word that crosses blocks is added up by itself.
     size = len(_POWERS[0]) - 1
-    at = np.arange(len(data)) % size
-    total = np.concatenate([[np.uint64(0)], np.cumsum(low * _POWERS[0][at])])
+    power = _POWERS[0][: len(data)] if len(data) <= size else np.resize(_POWERS[0][:size], len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((low + np.uint64(1)) * power, out=total[1:])
     hashes = mix((total[stop] - total[start]) * _POWERS[1][start % size] + (stop - start).astype(np.uint64))
-    for i in np.flatnonzero(start // size != (stop - 1) // size):
-        word, value = low[start[i] : stop[i]], np.uint64(0)
+    for i in np.flatnonzero(start // size != (stop - 1) // size) if len(data) > size else ():
+        word, value = low[start[i] : stop[i]] + np.uint64(1), np.uint64(0)
         for k in range(0, len(word), size):
             part = word[k : k + size]
             value = value + (part * _POWERS[0][: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(int(BASE), k, 1 << 64))
         hashes[i] = mix(np.array([value + np.uint64(len(word))]))[0]
-    before = np.where(stop - start > 1, low[np.maximum(stop - 2, 0)], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
-    return hashes, (before * np.uint64(256) + low[stop - 1]).astype(np.uint16)
+    last = low[stop - 1].astype(np.uint16)
+    before = np.where(stop - start > 1, low[np.maximum(stop - 2, 0)], np.uint8(0)) if len(start) else last
+    return hashes, before.astype(np.uint16) * np.uint16(256) + last, start
