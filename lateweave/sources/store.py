@@ -61,9 +61,10 @@ def load_codec(spark: SparkSession, path: str) -> tuple[DataFrame, Codec]:
     return spark.read.parquet(f"{path}/centroids"), Codec(tuple(found["cutoffs"]), tuple(found["weights"]), found["avg_residual"])
 
 
-def save_chunks(compressed: DataFrame, path: str) -> None:
-    """Every chunk's rows; a rerun of a chunk replaces it alone."""
-    compressed.sortWithinPartitions("chunk_id", "eid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{path}/compressed")
+def save_chunks(compressed: DataFrame, path: str, whole: bool = True) -> None:
+    """Every chunk's rows. With whole = False only the chunks among the rows are replaced (and _SUCCESS stays as it was)."""
+    mode = "static" if whole else "dynamic"
+    compressed.sortWithinPartitions("chunk_id", "eid").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("chunk_id").parquet(f"{path}/compressed")
 
 
 def load_compressed(spark: SparkSession, path: str) -> DataFrame:
