@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs whose doc_id is not among the keys. Few keys are broadcast, so that texts stay where they are; many are joined by a shuffle."""
     gone = materialize(keys.distinct(), "pipeline-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == F.col("_k"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == gone["_k"], "left_anti")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

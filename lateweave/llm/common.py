@@ -50,6 +50,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes from now on, so that long texts don't add up in a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= size:
+        spark.conf.set(name, str(size))
+
+
+def most_frequent(counts: DataFrame, most: int, count: str = "c") -> DataFrame:
+    """The rows with the largest counts, as many whole classes of counts as make up ``most`` rows at most.
+
+    A class is one count up to 1024 and a thirty-second of an octave beyond, so
+    the histogram stays small, and no task sorts or merges candidates.
+    """
+    size = F.when(F.col(count) <= 1024, F.col(count)).otherwise(F.floor(F.log2(F.col(count)) * 32) + 1024).cast("long")
+    left, least = most, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["size"]
+    return counts.where(F.lit(False) if least is None else size >= least)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -153,4 +153,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     leaks = find_leaks(docs, benchmark, key=key, text=text, params=params).select(F.col(key).alias("_k"), F.col("th").alias("_th")).distinct()
     leaks = materialize(leaks, "leaks-found")
     side = F.broadcast(leaks) if leaks.count() <= params.broadcast_rows else leaks
-    return docs.join(side, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left_anti")
+    return docs.join(side, docs[key].eqNullSafe(side["_k"]) & (F.xxhash64(docs[text]) == side["_th"]), "left_anti")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 @dataclass(frozen=True)
 class LanguageParams:
@@ -173,6 +175,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
     first language in order. Repeated rows are judged alike; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)

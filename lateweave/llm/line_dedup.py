@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 MIN_WORDS = 50
 #: Rows up to which a narrow table is broadcast; beyond it is joined by a shuffle.
@@ -40,7 +40,8 @@ _EDGES = " \t\n\x0b\x0c\r"
 def line_windows(text: str, min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int, int, int]]]:
     """Number of lines with a word, and the windows (fingerprint, hash, first line, last line, words); line numbers from 0 over all lines."""
     hashes, words, number = [], [], []
-    for i, line in enumerate(text.split("\n")):
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
         if n := len(_WORD.findall(line)):
             hashes.append(xxhash.xxh3_64_intdigest(line.strip(_EDGES)))
             words.append(n)
@@ -55,10 +56,12 @@ def line_windows(text: str, min_words: int = MIN_WORDS) -> tuple[int, list[tuple
     spans = {(int(a), int(b)) for a, b in zip(firsts, stops) if b <= len(words)}
     begins = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     spans |= {(int(a), i + 1) for i, a in enumerate(begins) if a >= 0}
+    # Lines without a word go with the line before them.
+    number.append(len(lines))
     out = []
     for a, b in sorted(spans):
         part = packed[a:b]
-        out.append((int(part.min().astype(np.int64)), xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63), number[a], number[b - 1], int(total[b] - total[a])))
+        out.append((int(part.min().astype(np.int64)), xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63), number[a], number[b] - 1, int(total[b] - total[a])))
     return len(words), out
 
 
@@ -96,6 +99,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with deleted lines: key, th (hash of the text), starts and sizes of the kept segments of lines."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
     wins = rows.mapInArrow(_scan(min_words), f"key {kind}, th long, n_lines int, f array<long>, h array<long>, first array<long>, last array<long>, again array<boolean>")
@@ -122,21 +126,22 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     A run is deleted if it has min_words words or more and an equal run stands
     in a document of a smaller key, or earlier in its own document. Lines are
     compared without white space at their ends; lines without a word neither
-    part nor prolong a run. Rows that share a key count as one document and
+    part nor prolong a run, and go with the line before them. Rows that share a key count as one document and
     don't delete each other; a null key only meets its own lines. Null texts
     stay null; texts without repeats, the other columns and the order of lines
     stay as they are.
     """
     kept = materialize(repeated_spans(docs, key=key, text=text, min_words=min_words), "lines-kept")
-    kept = kept.select(F.col("key").alias("_key"), F.col("th").alias("_th"), "starts", "sizes").withColumnsRenamed({"starts": "_starts", "sizes": "_sizes"})
+    # Columns by position: none of the input's names can clash with those used here.
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    k, t = (f"c{docs.columns.index(c)}" for c in (key, text))
     side = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS // 4 else kept
-    joined = docs.join(side, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    lines = F.split(text, "\n", -1)
-    segments = F.zip_with("_starts", "_sizes", lambda a, n: F.slice(F.col("_lines"), a + 1, n))
-    joined = joined.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
-    left = F.flatten(segments)
-    joined = joined.withColumn("_left", F.when(F.col("_starts").isNotNull(), left))
+    joined = inner.join(side, F.col(k).eqNullSafe(F.col("key")) & (F.xxhash64(t) == F.col("th")), "left")
+    hit = F.col("starts").isNotNull()
+    joined = joined.withColumn("lines", F.when(hit, F.split(t, "\n", -1)))
+    segments = F.zip_with("starts", "sizes", lambda a, n: F.slice(F.col("lines"), a + 1, n))
+    joined = joined.withColumn("left", F.when(hit, F.flatten(segments)))
     return joined.select(
-        *[F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns if c != "n_removed"],
-        F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long").alias("n_removed"),
+        *[(F.when(hit, F.array_join("left", "\n")).otherwise(F.col(f"c{i}")) if f"c{i}" == t else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns) if c != "n_removed"],
+        F.when(hit, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, task_rows
+from .common import materialize, most_frequent, small_batches, task_rows
 from .word_hash import hash_bytes, mix
 
 
@@ -141,8 +141,10 @@ def count_words(train: DataFrame, p: LmParams, text: str = "text") -> DataFrame:
 
 def _start(counts: DataFrame, p: LmParams) -> LmModel:
     by_suffix = {r["suffix"]: (r["n"], r["v"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(63)).alias("suffix")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    top = counts.orderBy(F.desc("c"), "h").limit(p.held_counts).toArrow()
+    top = most_frequent(counts, p.held_counts).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    by_count = np.lexsort((h, -c))
+    h, c = h[by_count], c[by_count]
     suffix = (h & _SUFFIX).astype(np.int64)
     m = min(len(h), p.frequent_classes * p.class_words)
     rank, order = np.arange(m), np.argsort(h[:m])
@@ -362,6 +364,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: L
     rows count and are scored each; other columns are ignored; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), _held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("text"))
     learn = rows.where(~F.col("held_out"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, task_rows
+from .common import materialize, small_batches, task_rows
 from .encoders import encoder
 
 #: Ranks with the same ids as byte_bpe_50k.json.
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     be shorter. Repeated rows and null keys are packed like any others; other
     columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * keep_ids
     pieces = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_pieces(capacity, end_id, tokenizer, keep_ids), schema)

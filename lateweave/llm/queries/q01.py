@@ -49,7 +49,8 @@ l{_M.order} AS (SELECT g, count(*) FILTER (fold <> 0 AND label = 'allow') AS a,
 bins AS (SELECT greatest({-_M.clip}, least({_M.clip}, floor(score / {_M.grid})))::INTEGER AS bin, count(*) FILTER (label = 'allow') AS a, count(*) FILTER (label = 'block') AS r
   FROM scores WHERE fold = 0 AND label IS NOT NULL GROUP BY 1),
 cuts AS (SELECT b.bin, sum(o.a) FILTER (o.bin >= b.bin) / sum(o.a) + coalesce(sum(o.r) FILTER (o.bin < b.bin), 0) / sum(o.r) AS q FROM bins b, bins o GROUP BY b.bin),
-cut AS (SELECT coalesce((SELECT bin FROM cuts WHERE q IS NOT NULL ORDER BY q DESC, abs(bin), bin LIMIT 1), 0) * {_M.grid} AS t)
+best AS (SELECT bin FROM cuts WHERE q IS NOT NULL ORDER BY q DESC, abs(bin), bin LIMIT 1),
+cut AS (SELECT coalesce((SELECT (best.bin + coalesce((SELECT max(b.bin) + 1 FROM bins b WHERE b.bin < best.bin), best.bin)) / 2 * {_M.grid} FROM best), 0) AS t)
 SELECT page_id, host, path, x.rule AS rule, coalesce(x.v, CASE WHEN score >= (SELECT t FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 5) AS score
 FROM ruled LEFT JOIN scores USING (url)
 """

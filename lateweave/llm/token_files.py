@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, small_batches
 from .encoders import encoder
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,7 @@ def write_flat(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str =
     The rows are a written table, so that the files are written once. A null
     or empty text is the end id alone.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return materialize(rows.mapInArrow(_writer(folder, end_id, dtype, tokenizer), f"path string, number long, key {kind}"), "token-manifest")
@@ -121,7 +122,7 @@ def scan(files: DataFrame, *, end_id: int = END_ID, dtype: str = DTYPE, block_by
     at = at.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = materialize(at.mapInArrow(_blocks(end_id, dtype), "path string, block long, stop long, ends array<long>"), "token-blocks")
 
-    narrow = found.select("path", "block", "stop", F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    narrow = found.select("path", "block", "stop", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = narrow.select(
         "path", "block", "stop", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("prev"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),

@@ -114,7 +114,8 @@ def url_scores(urls: DataFrame, m: UrlModel = UrlModel()) -> tuple[DataFrame, fl
     seen = _windows(once, m.order, "url", "label", "fold").join(F.broadcast(values) if small else values, "g")
     scored = materialize(seen.groupBy("url", "label", "fold").agg((F.sum("llr") / F.count("llr")).alias("score")), "url-scores")
 
-    # The threshold with the best mean of the two classes' hit rates; of equals the one nearest 0, then the lower.
+    # The cut between neighbouring bins with the best mean of the two classes' hit rates; of equals the one whose upper bin
+    # is nearest 0, then the lower. The threshold is the middle of the gap between the bins.
     step = F.greatest(F.lit(-m.clip), F.least(F.lit(m.clip), F.floor(F.col("score") / m.grid)))
     bins = scored.where((F.col("fold") == 0) & F.col("label").isNotNull()).groupBy(step.cast("int").alias("bin"))
     bins = bins.agg(F.sum((F.col("label") == "allow").cast("long")).alias("a"), F.sum((F.col("label") == "block").cast("long")).alias("r")).collect()
@@ -122,7 +123,9 @@ def url_scores(urls: DataFrame, m: UrlModel = UrlModel()) -> tuple[DataFrame, fl
     if not a or not r:
         return scored, 0.0
     cuts = [(sum(x["a"] for x in bins if x["bin"] >= b) / a + sum(x["r"] for x in bins if x["bin"] < b) / r, -abs(b), -b) for b in {x["bin"] for x in bins}]
-    return scored, -max(cuts)[2] * m.grid
+    upper = -max(cuts)[2]
+    lower = max((x["bin"] + 1 for x in bins if x["bin"] < upper), default=upper)
+    return scored, (lower + upper) / 2 * m.grid
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], *, key: str = "page_id", url: str = "url", model: UrlModel = UrlModel()) -> DataFrame:
