@@ -29,6 +29,6 @@ def dedup(docs: list[tuple[int, str]], min_words: int = 50) -> dict[int, str]:
             for b in range(a, len(at)):
                 n += len(WORD.findall(lines[at[b]]))
                 if n >= min_words and seen[tuple(lines[i].strip(" \t\n\x0b\x0c\r") for i in at[a : b + 1])] < (key, a):
-                    gone.update(range(at[a], at[b] + 1))
+                    gone.update(range(at[a], [*at, len(lines)][b + 1]))
         out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
