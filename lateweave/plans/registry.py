@@ -11,6 +11,7 @@ from ..config import RetrievalConfig
 from ..functions import bits, vec
 from ..operators import codec as coding
 from ..operators import encode, evaluate, kmeans, planning, ranking, tokenize
+from ..sources import checkpoint
 from ..sources import passages as readers
 from . import fixture as fx
 
@@ -67,6 +68,14 @@ def concatenate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.concatenated([a, b]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(r"""SELECT source, kind, nullif(lower(regexp_extract(kind, '^(\S+?)Tokenizer(Fast)?$', 1)), '') AS family
+FROM (SELECT DISTINCT source, source || CASE WHEN doc_id % 3 = 0 THEN 'TokenizerFast' WHEN doc_id % 3 = 1 THEN 'Tokenizer' ELSE 'Model' END AS kind FROM documents)""")
+def tokenizer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.when(F.col("doc_id") % 3 == 0, "TokenizerFast").when(F.col("doc_id") % 3 == 1, "Tokenizer").otherwise("Model")
+    rows = fx.table(spark, sf_dir, "documents").select("source", F.concat("source", end).alias("kind")).distinct()
+    return rows.select("source", "kind", checkpoint.tokenizer_type_column(F.col("kind")).alias("family"))
+
+
 # Tokenisation
 
 
