@@ -10,16 +10,19 @@ passages out of the prefixes.
 * Classes with identical prefixes and size are one group; only groups are
   joined on prefix shingles, under size and position bounds.
 * In a shingle's block, neighbouring groups are paired first and their members
-  verified; what that connects is one cluster. Then only group pairs of
+  verified, in a few rounds; what that connects is one cluster. Then only group pairs of
   different clusters are formed, expanded and verified. A link inside a cluster
   can't change a component, so no link is lost, and a block of thousands of
   near copies costs a chain instead of all pairs.
 
-Verification reads the whole sets, of candidate documents only.
+A pair is first held against sketches of its sets, which bound what they can
+have in common; only what these leave is verified on whole sets, read again
+from the texts of those documents alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import materialize, most_frequent, small_batches
 from .connected import components
 from .word_hash import BASE, mix, word_hashes
 
@@ -45,8 +48,10 @@ class JoinParams:
     frequent: int = 4
     #: ... and at most so many shingles, the most frequent ones. The order of the others isn't affected.
     frequent_rows: int = 500_000
-    #: A group is chained to its neighbours in its first so many shared blocks.
-    chain: int = 3
+    #: A group is held against its neighbours in its first so many shared blocks, round by round.
+    chain: tuple[int, ...] = (8,)
+    #: Neighbours are of about one size: bands grow by this factor.
+    band: float = 1.1
     #: Narrow tables are broadcast up to so many rows.
     broadcast_rows: int = 500_000
 
@@ -84,6 +89,31 @@ def _group_of(head: np.ndarray, n: int) -> int:
         return int(mix(mix(head ^ mix(np.arange(1, len(head) + 1, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]) - (1 << 63)
 
 
+#: Counters of a sketch.
+_CELLS = 256
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of _CELLS cells, up to 255."""
+    return np.minimum(np.bincount((s >> np.uint64(32) & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _plausible(p: JoinParams):
+    """Pairs whose sketches leave room for enough common shingles: no more than the lesser count of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _CELLS) for i in (4, 5))
+            low = np.minimum(a, b)
+            room = (low.sum(1, dtype=np.int64) * (100 + p.percent) >= p.percent * n) | (low == 255).any(1)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(room)).columns[:2], ["a", "b"])
+
+    return run
+
+
 def _sampled(p: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +133,7 @@ def _prefixes(p: JoinParams, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, emitted = frequent.value, set()
         for batch in batches:
-            sizes, classes, groups, prefixes = [], [], [], []
+            sizes, classes, groups, prefixes, sketches = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), p.shingle):
                 n = len(s)
                 sizes.append(n)
@@ -111,17 +141,20 @@ def _prefixes(p: JoinParams, frequent):
                     classes.append(None)
                     groups.append(None)
                     prefixes.append(None)
+                    sketches.append(None)
                     continue
                 late = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
                 head = np.concatenate([s[~late], s[late]])[: n - need(n, p) + 1]
                 group = _group_of(head, n)
                 classes.append(class_of(s))
+                sketches.append(sketch_of(s))
                 groups.append(group)
                 # A task emits a group's prefix once, whatever the number of its copies.
                 prefixes.append(None if group in emitted else head.view(np.int64))
                 emitted.add(group)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "class", "grp", "prefix"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["key", "n", "class", "grp", "prefix", "sketch"],
             )
 
     return run
@@ -172,16 +205,17 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     an empty result.
     """
     p, spark = params, docs.sparkSession
+    small_batches(spark)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     # Frequent shingles among one text in p.sample (copies once): a bounded table, and only a matter of speed.
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(p.sample)) == 0).select("text").dropDuplicates()
     often = some.mapInArrow(_sampled(p), "s long").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= p.frequent)
-    often = often.orderBy(F.desc("c"), "s").limit(p.frequent_rows).select("s").toArrow()
+    often = most_frequent(materialize(often, "join-often"), p.frequent_rows).select("s").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(often["s"].to_numpy().view(np.uint64)))
 
-    known = materialize(rows.mapInArrow(_prefixes(p, frequent), f"key {kind}, n long, class long, grp long, prefix array<long>"), "join-prefixes")
+    known = materialize(rows.mapInArrow(_prefixes(p, frequent), f"key {kind}, n long, class long, grp long, prefix array<long>, sketch binary"), "join-prefixes")
 
     # Blocks: groups that share a prefix shingle. Rows of one group next to each other are its copies from other tasks.
     each = known.where(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "s"))
@@ -190,40 +224,70 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = each.where((F.col("before") != F.col("grp")) | (F.col("after") != F.col("grp"))).select("s", "grp", "n", "pos")
     shared = materialize(shared.dropDuplicates(["s", "grp"]), "join-blocks")
 
-    # Chain: neighbours in the first few blocks of each group. Inside a group: its classes, one after another.
-    prev = [F.lag(c).over(order).alias(f"{c}2") for c in ("grp", "n", "pos")]
-    turn = F.row_number().over(Window.partitionBy("grp").orderBy("pos"))
-    chained = shared.select("grp", "n", "pos", *prev).where(F.col("grp2").isNotNull() & _bounds(p, "n", "pos", "n2", "pos2"))
-    chained = chained.withColumn("turn", turn).where(F.col("turn") <= p.chain).select("grp", "grp2").distinct()
-    classes = materialize(known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key")), "join-classes")
+    classes = materialize(known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch")), "join-classes")
+    sketches = classes.select("class", "n", "sketch")
     first = classes.groupBy("grp").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
     inside = classes.join(first.where("members > 1").select("grp"), "grp").select(F.col("class").alias("a"), F.lag("class").over(Window.partitionBy("grp").orderBy("class")).alias("b")).where("b IS NOT NULL")
-    f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
-    pairs = chained.join(f1, F.col("grp") == F.col("g1")).join(f2, F.col("grp2") == F.col("g2")).select("a", "b").unionByName(inside).distinct()
-    pairs = materialize(pairs, "join-chain")
-
-    # Whole sets of the classes in any block, from one text each.
-    wanted = classes.join(shared.select("grp").distinct().unionByName(first.where("members > 1").select("grp")).distinct(), "grp", "left_semi")
-    one = materialize(wanted.select("class", "key"), "join-wanted")
-    few = one.count() <= p.broadcast_rows
-    # A key may name several rows; a row's class tells them apart.
-    texts = rows.join((F.broadcast(one) if few else one).withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
-    sets = texts.mapInArrow(_checked_sets(p), "class long, set binary").dropDuplicates(["class"])
-    sets = materialize(sets, "join-sets")
-
-    def verified(candidates: DataFrame) -> DataFrame:
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        """The linked pairs (a, b) among candidates: sketches first, then the whole sets of what they leave."""
+        left, right = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+        near = candidates.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
+        near = materialize(near, f"{name}-near")
+        wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
+        one = materialize(classes.join(wanted, "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
+        side = F.broadcast(one) if one.count() <= p.broadcast_rows else one
+        # A key may name several rows; a text's class tells them apart, and of equal rows one is enough.
+        texts = rows.join(side, F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
+        sets = materialize(texts.mapInArrow(_checked_sets(p), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
         left, right = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        return candidates.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
+        return near.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
+
+    f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 
-    links = materialize(verified(pairs), "join-links")
-    clusters = materialize(components(links), "join-clusters")
+    def neighbours(block: DataFrame, turns: int, seed: int) -> DataFrame:
+        """(a, b): each group's first class, and its predecessor's and its hub's, in the group's first ``turns`` blocks where the two aren't one cluster yet.
+
+        The order differs from block to block, so that a group meets several others of its size.
+        """
+        band = F.floor(F.log(F.col("n")) / math.log(p.band))
+        mixed = Window.partitionBy("s").orderBy(band, F.xxhash64("grp", "s", F.lit(seed)))
+        # A hub has the fewest shingles of its own before the block's: what edited copies have in common.
+        hub = Window.partitionBy("s", band).orderBy("pos", F.xxhash64("grp", F.lit(seed)))
+        each = block.select("s", "grp", "n", "pos", "lo", "hi")
+        found = None
+        for window, take in ((mixed, F.lag), (hub, F.first)):
+            near = each.select("grp", "n", "pos", "lo", "hi", *[take(c).over(window).alias(f"{c}2") for c in ("grp", "n", "pos", "lo", "hi")])
+            apart = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+            near = near.where(F.col("grp2").isNotNull() & (F.col("grp") != F.col("grp2")) & apart & _bounds(p, "n", "pos", "n2", "pos2"))
+            near = near.withColumn("turn", F.row_number().over(Window.partitionBy("grp").orderBy("pos"))).where(F.col("turn") <= turns)
+            near = near.select(F.least("grp", "grp2").alias("x"), F.greatest("grp", "grp2").alias("y"))
+            found = near if found is None else found.unionByName(near)
+        return found.distinct().join(f1, F.col("x") == F.col("g1")).join(f2, F.col("y") == F.col("g2")).select("a", "b")
+
+    def opened(links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Classes and groups with their clusters so far (lowest and highest of a group), and the blocks that hold several."""
+        if links is None:
+            named = classes.select("class", "grp", F.col("class").alias("cluster"))
+        else:
+            clusters = materialize(components(links), f"{name}-clusters")
+            named = classes.join(clusters, classes["class"] == clusters["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("cluster"))
+        spread = named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+        block = shared.join(spread, "grp")
+        if links is not None:
+            several = block.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s")
+            block = block.join(several, "s", "left_semi")
+        return named, spread, materialize(block, f"{name}-open")
+
+    links, pairs = None, inside
+    for turn, width in enumerate(p.chain):
+        named, spread, block = opened(links, f"join-{turn}")
+        tried = materialize(neighbours(block, width, turn).unionByName(pairs).distinct() if links is None else neighbours(block, width, turn), f"join-{turn}-pairs")
+        more = materialize(verified(tried, f"join-{turn}"), f"join-{turn}-links")
+        pairs = tried if links is None else pairs.unionByName(tried)
+        links = more if links is None else links.unionByName(more)
 
     # What is left: pairs of different clusters in a block.
-    named = classes.join(clusters, classes["class"] == clusters["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("cluster"))
-    spread = named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    block = shared.join(spread, "grp")
-    open_ = block.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s")
-    block = materialize(block.join(open_, "s", "left_semi"), "join-open")
+    named, spread, block = opened(links, "join-last")
     x, y = block.alias("x"), block.alias("y")
     crossing = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
     met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos"))
@@ -231,8 +295,9 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # Members of one group that its chain left apart are a group pair too.
     met = met.unionByName(spread.where("lo < hi").select(F.col("grp").alias("g1"), F.col("grp").alias("g2")))
     m1, m2 = (named.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c), F.col("cluster").alias(f"c{i}")) for i, c in ((1, "a"), (2, "b")))
-    rest = met.join(m1, "g1").join(m2, "g2").where((F.col("c1") != F.col("c2")) & ((F.col("g1") != F.col("g2")) | (F.col("a") < F.col("b")))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = materialize(components(links.unionByName(verified(rest))), "join-components")
+    rest = met.join(m1, "g1").join(m2, "g2").where((F.col("c1") != F.col("c2")) & ((F.col("g1") != F.col("g2")) | (F.col("a") < F.col("b")))).select("a", "b").distinct().join(pairs.distinct(), ["a", "b"], "left_anti")
+    rest = materialize(rest, "join-rest")
+    found = materialize(components(links.unionByName(verified(rest, "join-rest"))), "join-components")
 
     least = classes.join(found, classes["class"] == found["node"]).groupBy("root").agg(F.min("key").alias("name"))
     names = found.join(least, "root").select(F.col("node").alias("class"), "name")
