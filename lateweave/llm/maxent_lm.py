@@ -58,7 +58,6 @@ class LmParams:
 _SUFFIX = np.uint64(63)
 _END = np.uint64(0x452821E638D01377) & ~_SUFFIX
 _LOG10 = math.log(10)
-_FEATURES = 4
 
 
 def _held_out(key: Column) -> Column:
