@@ -1,13 +1,13 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a pair of aggregations over the edges, whose number never grows;
-stars halve in depth, so that a few steps are enough even for long chains.
+Every step is a pair of windows over the edges, each one exchange; stars halve
+in depth, so that a few steps are enough even for long chains.
 Edges stay in tables of the shared folder and are never collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,12 +20,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large star: each node's larger neighbours move to its smallest neighbour (itself included).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        least = F.min("v").over(Window.partitionBy("u"))
+        large = both.withColumn("m", F.least(least, F.col("u"))).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # Small star: each node and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = large.withColumn("m", least).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         nxt = materialize(small.where("u != v").distinct(), "edges")
         # A fixed point has the same number of edges and the same sum over them.
         state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

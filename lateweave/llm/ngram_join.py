@@ -228,19 +228,23 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sketches = classes.select("class", "n", "sketch")
     first = classes.groupBy("grp").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
     inside = classes.join(first.where("members > 1").select("grp"), "grp").select(F.col("class").alias("a"), F.lag("class").over(Window.partitionBy("grp").orderBy("class")).alias("b")).where("b IS NOT NULL")
+    def brief(pairs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+        """pairs, to be broadcast if they (or the table that bounds them) have few rows."""
+        return F.broadcast(pairs) if (pairs if counted is None else counted).count() <= p.broadcast_rows // 2 else pairs
+
     def verified(candidates: DataFrame, name: str) -> DataFrame:
         """The linked pairs (a, b) among candidates: sketches first, then the whole sets of what they leave."""
         left, right = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
-        near = candidates.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
+        near = left.join(brief(candidates), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
         near = materialize(near, f"{name}-near")
         wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
-        one = materialize(classes.join(wanted, "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
+        one = materialize(classes.join(brief(wanted, near), "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
         side = F.broadcast(one) if one.count() <= p.broadcast_rows else one
         # A key may name several rows; a text's class tells them apart, and of equal rows one is enough.
         texts = rows.join(side, F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
         sets = materialize(texts.mapInArrow(_checked_sets(p), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
         left, right = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        return near.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
+        return left.join(brief(near), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
 
     f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 
