@@ -35,17 +35,16 @@ from .word_hash import hash_bytes, mix
 @dataclass(frozen=True)
 class LmParams:
     #: Classes of frequent words and words in each.
-    frequent_classes: int = 24
-    class_words: int = 40
+    frequent_classes: int = 32
+    class_words: int = 64
     #: Classes of the other words, at most 64.
-    suffix_classes: int = 24
+    suffix_classes: int = 48
     #: Rows of either weight table, a power of 2.
     buckets: int = 1 << 13
     #: Word counts that workers hold (sorted arrays of 16 bytes a word); others are joined.
     held_counts: int = 1 << 18
-    #: Training rounds; each takes one position in ``stride`` of every training document, at another offset.
+    #: Training rounds; each takes every position of every training document.
     rounds: int = 1
-    stride: int = 3
     #: Weights stay within this, so that sums of them have exponentials.
     most: float = 15.0
     minibatch: int = 2048
@@ -251,7 +250,7 @@ def _step(m: LmModel, squares: tuple[np.ndarray, np.ndarray], cls: np.ndarray, p
 _BLOCKS = 16
 
 
-def _trained(model, number: int):
+def _trained(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
         p = m.params
@@ -260,14 +259,15 @@ def _trained(model, number: int):
         seen, wait = 0, []
         for batch in batches:
             for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
-                cls, place, features = _contexts(m, h, doc)
-                at = np.arange(number % p.stride, len(h), p.stride)
-                wait.append((cls[at], place[at], features[:, at]))
+                wait.append(_contexts(m, h, doc))
                 if sum(len(x[0]) for x in wait) >= p.minibatch:
-                    seen += sum(len(x[0]) for x in wait)
-                    _step(m, squares, *(np.concatenate([x[i] for x in wait], -1) for i in range(3)))
-                    wait = []
-        if wait and len(wait[0][0]):
+                    held = [np.concatenate([x[i] for x in wait], -1) for i in range(3)]
+                    whole = len(held[0]) - len(held[0]) % p.minibatch
+                    for k in range(0, whole, p.minibatch):
+                        _step(m, squares, *(x[..., k : k + p.minibatch] for x in held))
+                    seen += whole
+                    wait = [tuple(x[..., whole:] for x in held)]
+        if sum(len(x[0]) for x in wait):
             seen += sum(len(x[0]) for x in wait)
             _step(m, squares, *(np.concatenate([x[i] for x in wait], -1) for i in range(3)))
         if seen:
@@ -298,9 +298,9 @@ def train(docs: DataFrame, counts: DataFrame, p: LmParams, text: str = "text") -
     spark, m = docs.sparkSession, _start(counts, p)
     rows, schema = docs.select(F.col(text).cast("string").alias("text")), "block int, part int, weight double, w binary"
     classes = m.by_class.shape[1]
-    for r in range(p.rounds):
+    for _ in range(p.rounds):
         shared = spark.sparkContext.broadcast(m)
-        done = rows.mapInArrow(_trained(shared, r), schema)
+        done = rows.mapInArrow(_trained(shared), schema)
         # A tree: no task adds up more than _FAN blocks.
         width = done.rdd.getNumPartitions()
         while True:

@@ -269,6 +269,17 @@ def test_lm_distribution_sums_to_one(spark):
     assert len(history) == 2 and math.isclose(total, 1.0, abs_tol=1e-3)
 
 
+def test_lm_learns_from_every_position(spark):
+    rows = docs(spark, *[(i, " ".join(f"w{(i * 200 + k) % 1500}" for k in range(900))) for i in range(8)])
+    p = maxent_lm.LmParams()
+    counts = maxent_lm.count_words(rows, p)
+    m = maxent_lm._start(counts, p)
+    assert len(m.words) == 1501  # every word and the end are modelled word by word
+    shared = spark.sparkContext.broadcast(m)
+    done = rows.select("text").mapInArrow(maxent_lm._trained(shared), "block int, part int, weight double, w binary")
+    assert sum(r["weight"] for r in done.where("block = 0").collect()) == m.tokens == 8 * 901
+
+
 def test_no_documents_to_score(spark):
     assert maxent_lm.score(spark.createDataFrame([], DOCS)).count() == 0
 
