@@ -5,7 +5,8 @@ number and names inside a sentence become typed placeholders; other words are
 lower-cased and lose their punctuation. Windows of template words are joined by
 hash. Where a matched window has placeholders, the slots behind them are read
 on both sides: a re-parameterised question replaces a value by the same other
-value throughout, while mere likeness of form does not.
+value throughout, while mere likeness of form does not; windows with conflicting
+values don't count, those beside them do.
 
 Only benchmark windows are broadcast, and only while they are few (a benchmark
 doesn't grow with the corpus, but its size is checked all the same); documents
@@ -125,17 +126,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     side = F.broadcast(wanted) if wanted.count() <= p.broadcast_rows else wanted
     again = rows.join(side, rows["key"].eqNullSafe(side["key"]) & (rows["th"] == side["th"]), "left_semi").dropDuplicates(["key", "th"]).select(F.col("key").alias("_k"), F.col("th").alias("_th"), slots(F.col("text")).alias("_o"))
     pairs = slotted.join(again, slotted["key"].eqNullSafe(F.col("_k")) & (slotted["th"] == F.col("_th"))).join(bench.select("item", F.col("pos").alias("ipos"), "words", "open"), ["item", "ipos"])
-    pairs = pairs.select("key", "th", "item", "shift", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("_o", F.col("pos") + 1, F.col("size")).alias("b"), F.col("open").alias("o"))).alias("x")).where("x.o")
-    # Consistent: every value of the item has one value in the document throughout.
-    mapped = pairs.select("key", "th", "item", "shift", F.col("x.a").alias("a"), F.col("x.b").alias("b")).distinct().groupBy("key", "th", "item", "shift").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("na"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("moved")
-    )
+    pairs = pairs.select("key", "th", "item", "shift", "ipos", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("_o", F.col("pos") + 1, F.col("size")).alias("b"), F.col("open").alias("o"))).alias("x")).where("x.o")
+    # Consistent: a value of the item has one value in the document throughout; windows in which a value with several is changed go.
+    pairs = pairs.select("key", "th", "item", "shift", "ipos", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     same = ["key", "th", "item", "shift"]
-    runs = hits.groupBy(*same).agg(F.collect_set(F.struct("ipos", "size")).alias("at"), F.min("pos").alias("first"), F.max("n_words").alias("n_words"))
+    values = pairs.groupBy(*same, "a").agg(F.collect_set("b").alias("b"), F.collect_set(F.when(F.col("a") != F.col("b"), F.col("ipos"))).alias("at"))
+    mapped = values.groupBy(*same).agg(
+        F.sum(F.size("b")).alias("n"), F.sum(F.size(F.array_remove("b", F.col("a")))).alias("moved"), F.flatten(F.collect_list(F.when(F.size("b") > 1, F.col("at")))).alias("gone")
+    )
+    runs = hits.groupBy(*same).agg(F.collect_set(F.struct("ipos", "size")).alias("at"), F.max("n_words").alias("n_words"))
     m = mapped.alias("m")
     runs = runs.alias("r").join(m, F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.th") == F.col("m.th")) & F.col("r.item").eqNullSafe(F.col("m.item")) & (F.col("r.shift") == F.col("m.shift")), "left")
-    runs = runs.where(F.col("m.n").isNull() | (F.col("m.n") == F.col("m.na")))
-    runs = runs.select("r.key", "r.th", "r.item", "r.at", "r.first", "r.n_words", F.coalesce("m.n", F.lit(0)).alias("n"), F.coalesce("m.moved", F.lit(0)).alias("moved"))
+    gone = F.coalesce("m.gone", F.array().cast("array<int>"))
+    runs = runs.select("r.key", "r.th", "r.item", "r.shift", F.filter("r.at", lambda x: ~F.array_contains(gone, x["ipos"])).alias("at"), "r.n_words", F.coalesce("m.n", F.lit(0)).alias("n"), F.coalesce("m.moved", F.lit(0)).alias("moved")).where(F.size("at") > 0)
+    runs = runs.withColumn("first", F.col("shift") + F.array_min("at")["ipos"])
     found = runs.groupBy("key", "th", "item").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("first").alias("first"), F.max("n_words").alias("n_words"), F.sum("n").alias("n"), F.max("moved").alias("moved")
     )

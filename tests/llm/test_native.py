@@ -152,6 +152,19 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r["doc_id"] for r in found.collect()] == [1]
 
 
+def test_one_edited_value_spoils_its_windows_alone(spark):
+    item = "Anna paid 30 coins for the old red boat that was lying near the river and then she sold it again to a friend from the next village who gave her another 30 coins for it and was very happy with it"
+    edited = item.replace("another 30", "another 45")
+    other = item.replace("paid 30", "paid 12").replace("another 30", "another 45")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_leaks(docs(spark, (1, item), (2, edited), (3, "Once " + other)), items).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["coverage"] == 1 and not got[1]["changed"]
+    words = len(item.split())
+    # Only the edited words are not covered by another window.
+    assert got[2]["covered_words"] == words - 1 and got[2]["changed"] and got[2]["first_word"] == 0
+    assert got[3]["covered_words"] == words - 4 and got[3]["first_word"] == 4
+
+
 def test_no_leaks_in_empty_tables(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontamination.find_leaks(spark.createDataFrame([], DOCS), items).count() == 0
