@@ -8,6 +8,9 @@ on both sides: a re-parameterised question replaces a value by the same other
 value throughout, while mere likeness of form does not; windows with conflicting
 values don't count, those beside them do.
 
+Windows of an item with too few words of their own as templates are joined by
+the hash of their very words, so that every verbatim copy is found.
+
 Only benchmark windows are broadcast, and only while they are few (a benchmark
 doesn't grow with the corpus, but its size is checked all the same); documents
 are never exchanged, only their matches are.
@@ -38,7 +41,7 @@ _MARK = "\x01"
 @dataclass(frozen=True)
 class LeakParams:
     window: int = 8
-    #: Windows with fewer words that are no placeholders are too unspecific.
+    #: Windows with fewer words that are no placeholders are too unspecific as templates and are matched by their very words.
     min_literal: int = 4
     #: Share of an item's words inside consistently matched windows from which a document leaks it.
     min_coverage: float = 0.5
@@ -81,16 +84,20 @@ def _hashes(words: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, p: LeakParams, *, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item, size, pos, h, slotted, n_words, words: the windows of every item; an item shorter than the window is one window by itself."""
+    """item, size, pos, exact, h, slotted, n_words, words, open: the windows of every item; an item shorter than the window is one window by itself.
+
+    The hash is that of the template or, of exact windows, of the words themselves.
+    """
     w = F.col("_t")
     size = F.least(F.lit(p.window), F.size(w))
     rows = benchmark.select(F.col(key).alias("item"), template(F.col(text)).alias("_t"), slots(F.col(text)).alias("_o")).where(F.size(w) > 0)
     at = rows.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size(w) - size)).alias("pos"))
     part = F.slice(w, F.col("pos") + 1, F.col("size"))
     literal = F.size(F.filter(part, lambda x: ~x.contains(_MARK)))
-    return at.where(literal >= F.lit(p.min_literal)).select(
-        "item", "size", "pos", F.xxhash64(part).alias("h"), (literal < F.col("size")).alias("slotted"), F.size(w).alias("n_words"),
-        F.slice("_o", F.col("pos") + 1, F.col("size")).alias("words"),
+    raw, exact = F.slice("_o", F.col("pos") + 1, F.col("size")), literal < F.lit(p.min_literal)
+    return at.select(
+        "item", "size", "pos", exact.alias("exact"), F.when(exact, F.xxhash64(raw)).otherwise(F.xxhash64(part)).alias("h"), (~exact & (literal < F.col("size"))).alias("slotted"), F.size(w).alias("n_words"),
+        raw.alias("words"),
         F.transform(part, lambda x: x.contains(_MARK)).alias("open"),
     )
 
@@ -101,21 +108,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     Returns key, th (hash of the text), item, item_words, covered_words,
     coverage, n_slots (placeholders compared), changed (whether a slot has
     another value than in the item) and first_word (position of the first
-    match). Null and empty texts leak nothing and items without enough words of
-    their own are not looked for; repeated items or rows give a pair each, and
+    match). Null and empty texts leak nothing, nor is an item without a word
+    looked for; repeated items or rows give a pair each, and
     other columns are ignored.
     """
     p = params
     bench = materialize(benchmark_windows(benchmark, p, key=item_key, text=item_text), "leaks-benchmark")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    kinds = sorted((r["exact"], r["size"]) for r in bench.select("exact", "size").distinct().collect())
     few = bench.count() <= p.broadcast_rows
-    narrow = bench.select("h", "size", "item", F.col("pos").alias("ipos"), "slotted", "n_words")
+    narrow = bench.select("h", "size", "item", F.col("pos").alias("ipos"), "exact", "slotted", "n_words")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    words = rows.select("key", "th", template(F.col("text")).alias("_w"))
+    words = {exact: rows.select("key", "th", of(F.col("text")).alias("_w")) for exact, of in ((False, template), (True, slots))}
     hits = None
-    for size in sizes or [p.window]:
-        at = words.select("key", "th", F.posexplode(_hashes(F.col("_w"), size)).alias("pos", "h"))
-        of = narrow.where(F.col("size") == size)
+    for exact, size in kinds or [(False, p.window)]:
+        at = words[exact].select("key", "th", F.posexplode(_hashes(F.col("_w"), size)).alias("pos", "h"))
+        of = narrow.where((F.col("size") == size) & (F.col("exact") == exact)).drop("exact")
         hit = at.join(F.broadcast(of) if few else of, "h")
         hits = hit if hits is None else hits.unionByName(hit)
     hits = materialize(hits.withColumn("shift", F.col("pos") - F.col("ipos")), "leaks-hits")

@@ -165,6 +165,15 @@ def test_one_edited_value_spoils_its_windows_alone(spark):
     assert got[3]["covered_words"] == words - 4 and got[3]["first_word"] == 4
 
 
+def test_verbatim_copies_of_items_without_words_of_their_own(spark):
+    texts = ["Evaluate 12 + 5 * 3 - 8 / 2", "we met Anna Bert Carl Dora Emil Frida Gustav Hanna Ida Jan Karl", "too short", "7 kg", "1 2 3 4 5 6 7 8 9 10"]
+    items = spark.createDataFrame([*enumerate(texts), (8, "?!"), (9, None)], "item_id long, text string")
+    rows = [(i, f"Some text before. {t} and some after it.") for i, t in enumerate(texts)]
+    other = [(10, "Evaluate 13 + 5 * 3 - 8 / 2"), (11, "we met Anton Berta Carla Dieter Eva Fritz Greta Hans Inge Jo Kurt"), (12, "too very short"), (13, "8 kg"), (14, "2 3 1 5 4 7 6 9 8 10")]
+    found = decontamination.find_leaks(docs(spark, *rows, *other, *ODD), items).collect()
+    assert sorted((r["doc_id"], r["item"], r["coverage"], r["changed"]) for r in found) == [(i, i, 1.0, False) for i in range(5)]
+
+
 def test_no_leaks_in_empty_tables(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontamination.find_leaks(spark.createDataFrame([], DOCS), items).count() == 0
