@@ -461,7 +461,6 @@ def encode_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> str:
-    import dataclasses
     import tempfile
     import uuid
 
@@ -469,18 +468,17 @@ def _built(spark: SparkSession, sf_dir: str) -> str:
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
     path = f"{base.rstrip('/')}/lateweave-index-{uuid.uuid4().hex}"
-    items = fx.table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).cast("long").alias("pid"), "text")
-    Indexer(spark, dataclasses.replace(_CONFIG, index_path=path, kmeans_niters=4, chunksize=25), items).index()
+    Indexer(spark, RetrievalConfig(index_path=path), fx.passages(spark, sf_dir)).index()
     return path
 
 
 @query()
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item is searched by its own text in an index of all items."""
+    """Every document whose id is divisible by 50 is searched by its own text in an index of all documents; qid is its doc_id."""
     from ..searcher import Searcher
 
-    items = fx.table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).cast("long").alias("qid"), "text")
-    return Searcher(spark, _built(spark, sf_dir)).search_many(items, 3).select("qid", "rank", "pid", F.round("score", 3).alias("score"))
+    queries = fx.table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "text")
+    return Searcher(spark, _built(spark, sf_dir)).search_many(queries, 3).select("qid", "rank", "pid", F.round("score", 3).alias("score"))
 
 
 @query()

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from lateweave.config import RetrievalConfig
 from lateweave.indexer import Indexer
 from lateweave.operators import encode, evaluate, ranking, tokenize
+from lateweave.plans import registry
 from lateweave.searcher import Searcher, hydrate
 from lateweave.sources import passages, store
 from lateweave.streaming.append import append_stream
 
+DATA = "/root/testdata/sf0.001"
 TEXTS = ["The quick brown fox jumps over the lazy dog.", "A pipeline of Spark jobs, scheduled nightly.", "Bread needs flour, water, salt and time.", "", "Foxes are quick; dogs are lazy.", "Time flies like an arrow, fruit flies like a banana."]
 CONFIG = RetrievalConfig(dim=32, doc_maxlen=24, query_maxlen=8, chunksize=2, kmeans_niters=3)
 
@@ -102,6 +104,17 @@ def test_stream_appends_once(spark, built, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("pid").distinct().count() == 2
 
 
+def test_index_queries_cover_the_documents(spark, monkeypatch):
+    paths, built_by = [], registry._built
+    monkeypatch.setattr(registry, "_built", lambda *a: paths.append(built_by(*a)) or paths[-1])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = registry.index_roundtrip(spark, DATA).collect()
+    assert {r["qid"] for r in got} == {r["doc_id"] for r in docs.where("doc_id % 50 = 0").collect()}
+    assert {r["pid"] for r in spark.read.parquet(f"{paths[0]}/doclens").collect()} == {r["doc_id"] + 1 for r in docs.collect()}
+    assert store.load_config(spark, paths[0]) == RetrievalConfig(index_path=paths[0])
+    assert store.is_complete(spark, paths[0])
+
+
 def test_config_round_trip():
     c = dataclasses.replace(CONFIG, chunksize=None)
     assert RetrievalConfig.from_json(c.to_json()) == c
