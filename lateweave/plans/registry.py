@@ -210,6 +210,12 @@ def l2_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.distances(fx.tok(spark, sf_dir).where("eid <= 200"), fx.cent(spark, sf_dir)).select("eid", "cid", rounded("distance"))
 
 
+@query()
+def l2_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l2_distances, whose SQL compares the first 200 embeddings, for all of them."""
+    return kmeans.distances(fx.tok(spark, sf_dir), fx.cent(spark, sf_dir)).select("eid", "cid", rounded("distance"))
+
+
 @query(f"WITH {_KTOK}, {_assign_cte(0, 'cent')} SELECT eid, cid FROM a0")
 def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.assign(fx.tok(spark, sf_dir), fx.cent(spark, sf_dir)).select("eid", "cid")

@@ -1,5 +1,6 @@
 import dataclasses
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,14 @@ def test_index_queries_cover_the_documents(spark, monkeypatch):
     assert store.is_complete(spark, paths[0])
 
 
+def test_distances_of_all_embeddings(spark):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())
+    v = np.array([x for _, x in rows], np.float64)
+    want = ((v[:, None] - v[None, ::16]) ** 2).sum(2)
+    got = registry.QUERIES["l2_distances_all"](spark, DATA).toArrow().sort_by([("eid", "ascending"), ("cid", "ascending")])
+    assert got.num_rows == want.size and np.allclose(got["distance"].to_numpy().reshape(want.shape), want, atol=2e-5)
+
+
 def test_config_round_trip():
     c = dataclasses.replace(CONFIG, chunksize=None)
     assert RetrievalConfig.from_json(c.to_json()) == c
