@@ -130,6 +130,37 @@ def doclens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("pid", F.size(F.filter(tokenize.keep_mask(F.col("ids"), tokenize.skip_ids(True)), lambda x: x)).alias("doclen"))
 
 
+# The same over whole texts and at the default lengths; the SQL above is for short cuts.
+
+_DEFAULT = RetrievalConfig()
+
+
+@query()
+def token_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(fx.passages(spark, sf_dir).select("pid", F.transform(tokenize.token_strings(F.col("text")), tokenize.token_id).alias("a")))
+
+
+@query()
+def doc_truncate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(fx.passages(spark, sf_dir).select("pid", tokenize.truncate(tokenize.with_ends(tokenize.token_ids(F.col("text"))), _DEFAULT.doc_maxlen - 1).alias("a")))
+
+
+@query()
+def marker_insert_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(fx.passages(spark, sf_dir).select("pid", tokenize.document_ids(F.col("text"), _DEFAULT.doc_maxlen).alias("a")))
+
+
+@query()
+def query_pad_mask_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), tokenize.query_ids(F.col("text"), _DEFAULT.query_maxlen).alias("a")))
+
+
+@query()
+def doclens_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = fx.passages(spark, sf_dir).select("pid", tokenize.document_ids(F.col("text"), _DEFAULT.doc_maxlen).alias("ids"))
+    return ids.select("pid", F.size(F.filter(tokenize.keep_mask(F.col("ids"), tokenize.skip_ids(True)), lambda x: x)).alias("doclen"))
+
+
 # Vectors
 
 
@@ -451,7 +482,7 @@ def success_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Encoding and whole-index round trips (Python encoder: no SQL form)
 
-_CONFIG = RetrievalConfig(dim=64, doc_maxlen=DOC_MAXLEN, query_maxlen=QUERY_MAXLEN)
+_CONFIG = RetrievalConfig(dim=64)
 
 
 @query()

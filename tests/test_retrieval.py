@@ -1,4 +1,6 @@
 import dataclasses
+import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -124,6 +126,34 @@ def test_distances_of_all_embeddings(spark):
     assert got.num_rows == want.size and np.allclose(got["distance"].to_numpy().reshape(want.shape), want, atol=2e-5)
 
 
+def plain_ids(text):
+    found = re.findall(r"\w+|[^\w \t\n\x0b\f\r]", text.lower())
+    return [int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % 1048576 + 1000 for t in found]
+
+
+def listed(spark, name):
+    got = {}
+    for r in registry.QUERIES[name](spark, DATA).orderBy("pid", "i").collect():
+        got.setdefault(r["pid"], []).append(r["token_id"])
+    return got
+
+
+def test_whole_texts_and_default_lengths(spark):
+    ids = {r["doc_id"] + 1: plain_ids(r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert max(map(len, ids.values())) > 300 and listed(spark, "token_ids_whole") == ids
+    cut = {k: [101, *v, 102][:299] for k, v in ids.items()}
+    marked = {k: [v[0], 2, *v[1:]] for k, v in cut.items()}
+    assert listed(spark, "doc_truncate_default") == cut and listed(spark, "marker_insert_default") == marked
+    skip = {*(x for c in tokenize.skiplist(True) for x in plain_ids(c)), 0}
+    doclens = {k: sum(x not in skip for x in v) for k, v in marked.items()}
+    assert {r["pid"]: r["doclen"] for r in registry.doclens_default(spark, DATA).collect()} == doclens
+    assert {r["pid"]: r["doclen"] for r in registry.encode_passages(spark, DATA).collect()} == doclens
+    items = {r["item_id"]: plain_ids(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    padded = {k: [101, 1, *v, 102, *[103] * 32] for k, v in items.items()}
+    assert listed(spark, "query_pad_mask_default") == {k: v[:32] for k, v in padded.items()}
+    assert {r["vectors"] for r in registry.encode_queries(spark, DATA).collect()} == {32}
+
+
 def test_config_round_trip():
     c = dataclasses.replace(CONFIG, chunksize=None)
     assert RetrievalConfig.from_json(c.to_json()) == c
