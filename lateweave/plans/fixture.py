@@ -37,6 +37,12 @@ def query_vectors(spark: SparkSession, sf_dir: str, queries: int = 1) -> DataFra
     return rows.select(F.floor(v / 100).alias("qid"), (v % 100 + 1).cast("int").alias("qpos"), F.col("embedding"))
 
 
+def every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector for each query: every row whose vec_id, here qid, is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0)
+    return rows.select(F.col("vec_id").alias("qid"), F.lit(1).alias("qpos"), F.col("embedding"))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("pid"), "text")
 

@@ -398,10 +398,11 @@ def _probe(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
     return ranking.probe(fx.query_vectors(spark, sf_dir, n), fx.cent(spark, sf_dir), fx.NPROBE)
 
 
-def _search(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _search(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    """The best passages of the first n queries; None: of every_query."""
     compressed, codec = _compressed(spark, sf_dir)
-    centroids, queries = fx.cent(spark, sf_dir), fx.query_vectors(spark, sf_dir, n)
-    candidates = ranking.retrieve(_probe(spark, sf_dir, n), _coded(spark, sf_dir))
+    centroids, queries = fx.cent(spark, sf_dir), fx.every_query(spark, sf_dir) if n is None else fx.query_vectors(spark, sf_dir, n)
+    candidates = ranking.retrieve(ranking.probe(queries, centroids, fx.NPROBE), _coded(spark, sf_dir))
     rows = ranking.gather(compressed, candidates).select("qid", "pid", "code", "residual")
     return ranking.top_k(ranking.maxsim(rows, queries, (centroids, codec)), TOP, "qid")
 
@@ -445,6 +446,12 @@ def search_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, 5).select("qid", "rank", "pid", F.round("score", 4).alias("score"))
 
 
+@query()
+def search_batched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_batched, whose SQL has five queries, for every embedding whose id is divisible by 50."""
+    return _search(spark, sf_dir, None).select("qid", "rank", "pid", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {fx.search_cte(1, TOP)} SELECT rank, pid, source, md5(text) AS digest FROM hits JOIN documents ON doc_id + 1 = pid")
 def hydrate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("pid"), "source", "text")
@@ -480,6 +487,16 @@ def success_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.success_rate(evaluate.best_distance(hits))
 
 
+@query()
+def success_at_k_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success@5 over every query of search_batched_all by the LCS distance of the found texts from that of the query's own passage."""
+    docs = fx.passages(spark, sf_dir)
+    want = fx.every_query(spark, sf_dir).select("qid", (F.floor(F.col("qid") / 8) + 1).alias("want"))
+    hits = want.join(_search(spark, sf_dir, None).where("rank <= 5").select("qid", "pid"), "qid", "left")
+    texts = hits.join(docs, "pid", "left").join(docs.select(F.col("pid").alias("want"), F.col("text").alias("own")), "want", "left")
+    return evaluate.success_rate(evaluate.best_distance(texts.select("qid", evaluate.lcs_distance_udf("text", "own").alias("distance"))))
+
+
 # Encoding and whole-index round trips (Python encoder: no SQL form)
 
 _CONFIG = RetrievalConfig(dim=64)

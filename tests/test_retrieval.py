@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lateweave.config import RetrievalConfig
 from lateweave.indexer import Indexer
+from lateweave.operators import codec as coding
 from lateweave.operators import encode, evaluate, ranking, tokenize
 from lateweave.plans import registry
 from lateweave.searcher import Searcher, hydrate
@@ -154,6 +155,26 @@ def test_whole_texts_and_default_lengths(spark):
     assert {r["vectors"] for r in registry.encode_queries(spark, DATA).collect()} == {32}
 
 
+def test_every_query_is_searched(spark):
+    v = np.array([x for _, x in sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())], np.float64)
+    compressed, codec = registry._compressed(spark, DATA)
+    rows = coding.decompress(compressed.select("eid", "code", "residual"), registry.fx.cent(spark, DATA), codec).collect()
+    decoded = np.array([x for _, x in sorted((r["eid"], r["embedding"]) for r in rows)])
+    codes, want = (v @ v[::16].T).argmax(1), {}
+    for q in range(0, len(v), 50):
+        near = np.argsort(-(v[::16] @ v[q]), kind="stable")[:2]
+        pids = sorted({int(e) // 8 + 1 for e in np.flatnonzero(np.isin(codes, near))})
+        scores = {p: (decoded[8 * p - 8 : 8 * p] @ v[q]).max() for p in pids}
+        want[q] = sorted(pids, key=lambda p: -scores[p])[:10]
+    got = {}
+    for r in registry.search_batched_all(spark, DATA).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["pid"])
+    assert got == want and len(got) == 10
+    texts = {r["doc_id"] + 1: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    near = [min(evaluate.lcs_distance(texts[p], texts[q // 8 + 1]) for p in got[q][:5]) < 0.33 for q in got]
+    assert registry.success_at_k_lcs(spark, DATA).first()["success"] == pytest.approx(np.mean(near))
+
+
 def test_config_round_trip():
     c = dataclasses.replace(CONFIG, chunksize=None)
     assert RetrievalConfig.from_json(c.to_json()) == c
