@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, task_rows
 from .encoders import encoder
 
-#: Ranks with the same ids as byte_bpe_50k.json.
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 #: Pieces to a bucket, on average.
 BUCKET = 16_384
@@ -128,10 +127,12 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     """Pack all documents; one row per piece.
 
     Returns key, piece, start, length, ids_crc32, sequence_id, offset and, with
-    keep_ids, the piece's ids. A null or empty text is the end id alone. A
-    document longer than ``capacity`` is cut so that only its first piece can
-    be shorter. Repeated rows and null keys are packed like any others; other
-    columns are ignored; an empty table gives an empty result.
+    keep_ids, the piece's ids. A null or empty text is the end id alone; a
+    special token's string in a text is that token. A document longer than
+    ``capacity`` is cut so that only its first piece can be shorter, however
+    long it is. Repeated rows and null keys are packed like any others, each by
+    itself; pieces of one length are taken as they come; other columns are
+    ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]

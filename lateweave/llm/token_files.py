@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, small_batches
 from .encoders import encoder
 
-TOKENIZER = "byte_bpe_50k.tiktoken"
-#: <|endoftext|>, which no text encodes to.
-END_ID = 50256
+TOKENIZER = "byte_bpe_50k.json"
+#: The first id past the vocabulary: 50256, its own end of text, may stand inside a text.
+END_ID = 50257
 DTYPE = "<u2"
 BLOCK_BYTES = 8 << 20
 
@@ -138,14 +138,21 @@ def scan(files: DataFrame, *, end_id: int = END_ID, dtype: str = DTYPE, block_by
 
 
 def document_token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write docs to flat files in the shared folder and scan those: key, number, start, n_tokens of every row."""
+    """Write docs to flat files in the shared folder and scan those.
+
+    Returns key, path, number (from 0 in its file), start (token offset there)
+    and n_tokens of every row. A null or empty text has 0 tokens; a special
+    token's string in a text is that token; repeated rows and null keys are
+    counted like any others; texts of any length are taken; other columns are
+    ignored; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
     listed = write_flat(docs, folder, key=key, text=text)
     if listed.isEmpty():
-        return listed.select(F.col("key").alias(key), "number", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
+        return listed.select(F.col("key").alias(key), "path", "number", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
     # The files of attempts that failed are on disk too, but are not listed.
     used = listed.select("path").distinct()
     sizes = flat_files(spark, folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length")
     files = used.join(sizes, F.regexp_extract(used["path"], "[^/]+$", 0) == sizes["name"]).select("path", "length")
-    return listed.join(scan(files, block_bytes=block_bytes), ["path", "number"]).select(F.col("key").alias(key), "number", "start", "n_tokens")
+    return listed.join(scan(files, block_bytes=block_bytes), ["path", "number"]).select(F.col("key").alias(key), "path", "number", "start", "n_tokens")

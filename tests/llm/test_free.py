@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lateweave.llm import connected, language_id, line_dedup, maxent_lm, ngram_join, packing, token_files, word_hash
+from lateweave.llm import connected, encoders, language_id, line_dedup, maxent_lm, ngram_join, packing, token_files, word_hash
 
 from .brute_lines import dedup
 from .test_native import DOCS, ODD, WORD, docs
@@ -105,13 +105,38 @@ def test_line_edge_cases(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+LONG = [" " * 3_000_000, "a" * 3_000_000, "é" * 1_000_000, "x " * 600_000 + "<|endoftext|>" + " y\n\n z" * 100_000, " \n" * 600_000 + "w"]
+
+
 def test_ids_are_those_of_the_tokenizers_library():
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.encoder(packing.TOKENIZER)
-    for text in ["", "Hello  world\n\n\tx", "été ß 漢字 🙂", "1234.5 don't", "a" * 5000, "  trailing  "]:
+    for text in ["", "Hello  world\n\n\tx", "été ß 漢字 🙂", "1234.5 don't", "a" * 5000, "  trailing  ", "a <|endoftext|> b", "<|endoftext|>", *LONG]:
         assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_both_tokenizer_libraries_agree_on_every_character():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ranked = encoders.encoder("byte_bpe_50k.tiktoken")
+    for i in range(1, 0x110000, 1 << 15):
+        text = "".join(f"a{c}1 {c}{c}.{c}\n{c} b'{c}s" for c in map(chr, range(i, min(i + (1 << 15), 0x110000))) if not "\ud800" <= c <= "\udfff")
+        assert ranked(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_make_up_the_text():
+    for text in ["", "a b c d", "  a  b\n", "abcdefgh i", "a" * 30]:
+        assert "".join(encoders.parts(text, 3)) == text
+    assert list(encoders.parts("ab cd ef", 4)) == ["ab", " cd", " ef"]
+
+
+def test_very_long_texts_and_special_strings_are_packed_and_counted(spark):
+    rows = [(i, t) for i, t in enumerate([*LONG, "a <|endoftext|> b", None])]
+    ids = packing.encoder(packing.TOKENIZER)
+    lengths = {r["doc_id"]: r["n"] for r in packing.pack(docs(spark, *rows)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_files.document_token_counts(docs(spark, *rows)).collect()}
+    assert counted == {i: len(ids(t or "")) for i, t in rows} and lengths == {i: n + 1 for i, n in counted.items()}
+
+
 def test_packing_laws(spark):
     rng = random.Random(3)
     rows = [*ODD, *[(100 + i, "word " * rng.randrange(1, 900)) for i in range(200)]]
