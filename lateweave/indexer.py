@@ -11,6 +11,7 @@ from .config import RetrievalConfig
 from .operators import codec as coding
 from .operators import encode, kmeans, planning, ranking
 from .sources import passages as readers
+from .shared import remove
 from .sources import store
 
 
@@ -70,7 +71,7 @@ class Indexer:
         total = stored.count()
         stored.select("code", "eid", "pid").repartitionByRange("code", "eid").sortWithinPartitions("code", "eid").write.mode("overwrite").parquet(f"{path}/ivf")
         store.save_record(spark, path, "plan", {**plan, "num_chunks": math.ceil(count / plan["chunksize"]), "num_embeddings": total, "avg_doclen": total / count if count else 0.0})
-        _remove(spark, staged)
+        remove(spark, staged)
         return store.is_complete(spark, path)
 
 
@@ -78,8 +79,3 @@ def _by_passage(order: str):
     from pyspark.sql import Window
 
     return Window.partitionBy("pid").orderBy(order)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -11,6 +11,7 @@ from ..config import RetrievalConfig
 from ..functions import bits, vec
 from ..operators import codec as coding
 from ..operators import encode, evaluate, kmeans, planning, ranking, tokenize
+from ..shared import scratch
 from ..sources import checkpoint
 from ..sources import passages as readers
 from . import fixture as fx
@@ -515,13 +516,9 @@ def encode_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> str:
-    import tempfile
-    import uuid
-
     from ..indexer import Indexer
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/lateweave-index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     Indexer(spark, RetrievalConfig(index_path=path), fx.passages(spark, sf_dir)).index()
     return path
 
