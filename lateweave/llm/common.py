@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove, scratch
+
 #: Words are [^\\x20\\x09-\\x0D]+; what parts them, and one character of a word, as Java patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -24,30 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (single-machine tests) a temporary folder is made
-    and removed again when the process ends.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or os.environ.get("_LATEWEAVE_OWN_DIR", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="lateweave-")
-        os.environ["_LATEWEAVE_OWN_DIR"] = found
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lateweave/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._scratch)
+
+
+def brief(table: DataFrame, row: int = 64, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """A written table, to be broadcast if its rows (so many bytes each, and 8 for each entry of the arrays) are few bytes in all."""
+    size = sum((8 * F.size(a) for a in arrays), F.lit(row))
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -95,5 +87,5 @@ def task_rows() -> Iterator[int]:
     return itertools.count(TaskContext.get().partitionId() << 33)
 
 
-#: Rows of a few bytes each up to which a counted table is broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a measured table is broadcast.
+BROADCAST_BYTES = 32 << 20

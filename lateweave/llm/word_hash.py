@@ -13,12 +13,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 .. n, modulo 2**64."""
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, inverse))
 
 
-_POWERS = _powers(1 << 18)
+_POWERS = powers(1 << 18)
 
 
 def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
