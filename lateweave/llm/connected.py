@@ -1,16 +1,18 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a pair of windows over the edges, each one exchange; stars halve
-in depth, so that a few steps are enough even for long chains.
-Edges stay in tables of the shared folder and are never collected.
+A step is a grouped minimum, combined inside each task before its exchange, and
+a join with it that Spark can split where one node has very many edges. Stars
+halve in depth, so that a few steps are enough even for long chains. Edges stay
+in tables of the shared folder, each replacing the one before, and are never
+collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import brief, discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,11 +22,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large star: each node's larger neighbours move to its smallest neighbour (itself included).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.min("v").over(Window.partitionBy("u"))
-        large = both.withColumn("m", F.least(least, F.col("u"))).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        large = both.where(F.col("v") > F.col("u")).join(brief(least), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = materialize(large.distinct(), "edges-large")
         # Small star: each node and its smaller neighbours move to the smallest of them.
-        small = large.withColumn("m", least).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        nxt = materialize(small.where("u != v").distinct(), "edges")
+        smallest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-smallest")
+        moved = large.join(brief(smallest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        nxt = materialize(smallest.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "edges")
+        discard(now, least, large, smallest)
         # A fixed point has the same number of edges and the same sum over them.
         state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         now = nxt

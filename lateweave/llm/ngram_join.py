@@ -1,14 +1,17 @@
 """Grouped prefix join: documents whose word 5-gram sets have a Jaccard similarity of 0.8 or more.
 
-A document's set is hashed (64 bits a shingle) and ordered by (frequent,
-hash). Two sets of similarity t share a shingle among their first
-size - ceil(t * size) + 1: the prefix. Any total order is correct, and putting
-shingles that a sample of the texts shows to be frequent last keeps common
-passages out of the prefixes.
+A document's set is hashed (64 bits a shingle) and ordered by (count among
+frequent shingles, hash). Two sets of similarity t share a shingle among their
+first size - ceil(t * size) + 1: the prefix. Any total order is correct, and
+putting shingles that a sample of the texts shows to be frequent last, the most
+frequent at the very end, keeps common passages out of the prefixes.
 
 * Copies are one class: a task emits a set once, and equal sets meet later.
 * Classes with identical prefixes and size are one group; only groups are
-  joined on prefix shingles, under size and position bounds.
+  joined on prefix shingles, under size and position bounds and a bound on what
+  two sets differ in, by 512 parity bits of each.
+* Blocks of frequent shingles are counted first and dealt out in salted parts,
+  so that no task holds a whole large block.
 * In a shingle's block, neighbouring groups are paired first and their members
   verified, in a few rounds; what that connects is one cluster. Then only group pairs of
   different clusters are formed, expanded and verified. A link inside a cluster
@@ -28,11 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import materialize, most_frequent, small_batches
+from .common import brief, materialize, most_frequent, small_batches
 from .connected import components
 from .word_hash import BASE, mix, word_hashes
 
@@ -52,8 +54,8 @@ class JoinParams:
     chain: tuple[int, ...] = (8,)
     #: Neighbours are of about one size: bands grow by this factor.
     band: float = 1.1
-    #: Narrow tables are broadcast up to so many rows.
-    broadcast_rows: int = 500_000
+    #: Larger blocks are dealt out in parts of about so many groups.
+    block: int = 2048
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -98,6 +100,16 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(32) & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS), 255).astype(np.uint8).tobytes()
 
 
+#: Parity bits of a set, 64 to a long.
+_BITS = 512
+
+
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each of _BITS bits: two sets differ in at least as many members as in bits."""
+    odd = np.bincount((s >> np.uint64(40) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _plausible(p: JoinParams):
     """Pairs whose sketches leave room for enough common shingles: no more than the lesser count of each cell."""
 
@@ -131,31 +143,26 @@ def need(size: int, p: JoinParams) -> int:
 
 def _prefixes(p: JoinParams, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, emitted = frequent.value, set()
+        (common, counts), emitted = frequent.value, set()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
-            sizes, classes, groups, prefixes, sketches = [], [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), p.shingle):
+            out = []
+            for s in shingle_sets(batch.column(2).to_pylist(), p.shingle):
                 n = len(s)
-                sizes.append(n)
                 if not n:
-                    classes.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
-                    sketches.append(None)
+                    out.append((0, *[None] * 6))
                     continue
-                late = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
-                head = np.concatenate([s[~late], s[late]])[: n - need(n, p) + 1]
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                late = common[at] == s if len(common) else np.zeros(n, bool)
+                last = s[late][np.argsort(counts[at[late]], kind="stable")]
+                head = np.concatenate([s[~late], last])[: n - need(n, p) + 1]
                 group = _group_of(head, n)
-                classes.append(class_of(s))
-                sketches.append(sketch_of(s))
-                groups.append(group)
                 # A task emits a group's prefix once, whatever the number of its copies.
-                prefixes.append(None if group in emitted else head.view(np.int64))
+                first = group not in emitted
                 emitted.add(group)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["key", "n", "class", "grp", "prefix", "sketch"],
-            )
+                out.append((n, class_of(s), group, head.view(np.int64) if first else None, min(len(head), n - len(last)), sketch_of(s), parity_of(s)))
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["key", "th", "n", "class", "grp", "prefix", "rare", "sketch", "parity"])
 
     return run
 
@@ -187,64 +194,80 @@ def _verify(p: JoinParams):
     return run
 
 
-def _bounds(p: JoinParams, n1: str, p1: str, n2: str, p2: str):
+def _common(p: JoinParams, n1: str, n2: str) -> Column:
+    """Shingles that linked sets of these sizes have in common at least."""
+    return F.ceil((F.col(n1) + F.col(n2)) * p.percent / (100.0 + p.percent) - 1e-9)
+
+
+def _bounds(p: JoinParams, n1: str, p1: str, n2: str, p2: str) -> Column:
     """Whether two sets of these sizes whose first common prefix shingle is at these places (from 0) can be linked."""
-    least = F.ceil((F.col(n1) + F.col(n2)) * p.percent / (100.0 + p.percent) - 1e-9)
     sizes = 100 * F.least(n1, n2) >= p.percent * F.greatest(n1, n2)
-    return sizes & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= least)
+    return sizes & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= _common(p, n1, n2))
+
+
+def _alike(p: JoinParams, x: str, y: str) -> Column:
+    """Whether the parity bits of two sets let them be linked; also where one of them is unknown."""
+    differ = sum((F.bit_count(F.get(f"{x}.parity", F.lit(i)).bitwiseXOR(F.get(f"{y}.parity", F.lit(i)))) for i in range(1, _BITS // 64)), F.bit_count(F.get(f"{x}.parity", F.lit(0)).bitwiseXOR(F.get(f"{y}.parity", F.lit(0)))))
+    return F.coalesce(differ <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * _common(p, f"{x}.n", f"{y}.n"), F.lit(True))
 
 
 def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
-    """key, n_shingles, class_id (equal for documents with equal sets) and component_id of every row.
+    """key, th (hash of the text), n_shingles, class_id (equal for documents with equal sets), root (equal for a component's documents) and component_id of every row.
 
     component_id is the smallest key reachable over links, the row's own
     included. A null or empty text, or one without a word, has no shingles, no
-    class and no links; rows that repeat a key are separate documents with one
-    name. A null key is linked like any other but never gives a component its
-    name if there is another. Other columns are ignored; an empty table gives
-    an empty result.
+    class, no root and no links; rows that repeat a key are separate documents
+    with one name, repeated rows too. A null key is linked like any other but
+    never gives a component its name if there is another. Texts of any length
+    are compared whole; a similarity of exactly the threshold links. Other
+    columns are ignored; an empty table gives an empty result.
     """
     p, spark = params, docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
 
     # Frequent shingles among one text in p.sample (copies once): a bounded table, and only a matter of speed.
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(p.sample)) == 0).select("text").dropDuplicates()
+    some = rows.where(F.pmod("th", F.lit(p.sample)) == 0).select("text").dropDuplicates()
     often = some.mapInArrow(_sampled(p), "s long").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= p.frequent)
-    often = most_frequent(materialize(often, "join-often"), p.frequent_rows).select("s").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often["s"].to_numpy().view(np.uint64)))
-
-    known = materialize(rows.mapInArrow(_prefixes(p, frequent), f"key {kind}, n long, class long, grp long, prefix array<long>, sketch binary"), "join-prefixes")
-
-    # Blocks: groups that share a prefix shingle. Rows of one group next to each other are its copies from other tasks.
-    each = known.where(F.col("prefix").isNotNull()).select("grp", "n", F.posexplode("prefix").alias("pos", "s"))
+    often = most_frequent(materialize(often, "join-often"), p.frequent_rows).toArrow().sort_by("s")
+    found, counts = often["s"].to_numpy().view(np.uint64), often["c"].to_numpy()
+    ordered = np.argsort(found)
+    frequent = spark.sparkContext.broadcast((found[ordered], counts[ordered]))
+
+    schema = f"key {kind}, th long, n long, class long, grp long, prefix array<long>, rare int, sketch binary, parity array<long>"
+    known = materialize(rows.mapInArrow(_prefixes(p, frequent), schema), "join-prefixes")
+
+    # Blocks: groups that share a prefix shingle. Those of rare shingles are small; rows of one group next to each other are its copies
+    # from other tasks. Those of frequent shingles are counted, and their rows joined with the counts.
+    heads = known.where(F.col("prefix").isNotNull())
+    each = heads.select("grp", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
     order = Window.partitionBy("s").orderBy("n", "grp")
     each = each.withColumn("before", F.lag("grp").over(order)).withColumn("after", F.lead("grp").over(order))
-    shared = each.where((F.col("before") != F.col("grp")) | (F.col("after") != F.col("grp"))).select("s", "grp", "n", "pos")
-    shared = materialize(shared.dropDuplicates(["s", "grp"]), "join-blocks")
-
-    classes = materialize(known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch")), "join-classes")
+    small = each.where((F.col("before") != F.col("grp")) | (F.col("after") != F.col("grp"))).select("s", "grp", "n", "pos", F.lit(1).cast("long").alias("members"))
+    each = heads.where(F.size("prefix") > F.col("rare")).select("grp", "n", F.posexplode("prefix").alias("pos", "s"), "rare").where("pos >= rare").drop("rare")
+    sizes = each.groupBy("s").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("members")).where("a < b").select("s", "members")
+    large = each.join(brief(materialize(sizes, "join-sizes")), "s").select("s", "grp", "n", "pos", "members")
+    shared = materialize(small.unionByName(large).dropDuplicates(["s", "grp"]), "join-blocks")
+
+    classes = known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch"), F.any_value("parity").alias("parity"))
+    classes = materialize(classes, "join-classes")
     sketches = classes.select("class", "n", "sketch")
     first = classes.groupBy("grp").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
     inside = classes.join(first.where("members > 1").select("grp"), "grp").select(F.col("class").alias("a"), F.lag("class").over(Window.partitionBy("grp").orderBy("class")).alias("b")).where("b IS NOT NULL")
-    def brief(pairs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-        """pairs, to be broadcast if they (or the table that bounds them) have few rows."""
-        return F.broadcast(pairs) if (pairs if counted is None else counted).count() <= p.broadcast_rows // 2 else pairs
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
         """The linked pairs (a, b) among candidates: sketches first, then the whole sets of what they leave."""
         left, right = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
-        near = left.join(brief(candidates), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
+        near = left.join(brief(candidates, 32), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
         near = materialize(near, f"{name}-near")
         wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
-        one = materialize(classes.join(brief(wanted, near), "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
-        side = F.broadcast(one) if one.count() <= p.broadcast_rows else one
+        one = materialize(classes.join(brief(materialize(wanted, f"{name}-classes"), 32), "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
         # A key may name several rows; a text's class tells them apart, and of equal rows one is enough.
-        texts = rows.join(side, F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
+        texts = rows.join(brief(one), F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
         sets = materialize(texts.mapInArrow(_checked_sets(p), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
         left, right = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        return left.join(brief(near), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
+        return left.join(brief(near, 32), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
 
     f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 
@@ -254,10 +277,12 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         The order differs from block to block, so that a group meets several others of its size.
         """
         band = F.floor(F.log(F.col("n")) / math.log(p.band))
-        mixed = Window.partitionBy("s").orderBy(band, F.xxhash64("grp", "s", F.lit(seed)))
+        # The parts of a large block differ from shingle to shingle, so that groups of one part here are in several there.
+        part = F.pmod(F.xxhash64("grp", "s", F.lit(seed + 100)), F.ceil(F.col("members") / p.block))
+        mixed = Window.partitionBy("s", "part").orderBy(band, F.xxhash64("grp", "s", F.lit(seed)))
         # A hub has the fewest shingles of its own before the block's: what edited copies have in common.
-        hub = Window.partitionBy("s", band).orderBy("pos", F.xxhash64("grp", F.lit(seed)))
-        each = block.select("s", "grp", "n", "pos", "lo", "hi")
+        hub = Window.partitionBy("s", "part", band).orderBy("pos", F.xxhash64("grp", F.lit(seed)))
+        each = block.select("s", "grp", "n", "pos", "lo", "hi", part.alias("part"))
         found = None
         for window, take in ((mixed, F.lag), (hub, F.first)):
             near = each.select("grp", "n", "pos", "lo", "hi", *[take(c).over(window).alias(f"{c}2") for c in ("grp", "n", "pos", "lo", "hi")])
@@ -271,16 +296,18 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def opened(links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Classes and groups with their clusters so far (lowest and highest of a group), and the blocks that hold several."""
         if links is None:
-            named = classes.select("class", "grp", F.col("class").alias("cluster"))
+            named = classes.select("class", "grp", "parity", F.col("class").alias("cluster"))
         else:
             clusters = materialize(components(links), f"{name}-clusters")
-            named = classes.join(clusters, classes["class"] == clusters["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("cluster"))
-        spread = named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+            named = classes.join(brief(clusters), classes["class"] == clusters["node"], "left").select("class", "grp", "parity", F.coalesce("root", "class").alias("cluster"))
+        # The bits of a group of several sets are unknown.
+        spread = named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.any_value("parity")).alias("parity"))
         block = shared.join(spread, "grp")
-        if links is not None:
-            several = block.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s")
-            block = block.join(several, "s", "left_semi")
-        return named, spread, materialize(block, f"{name}-open")
+        if links is None:
+            return named, spread, materialize(block.drop("parity"), f"{name}-open")
+        block = materialize(block, f"{name}-blocks")
+        several = block.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s")
+        return named, spread, block.join(brief(materialize(several, f"{name}-several")), "s", "left_semi")
 
     links, pairs = None, inside
     for turn, width in enumerate(p.chain):
@@ -292,9 +319,13 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # What is left: pairs of different clusters in a block.
     named, spread, block = opened(links, "join-last")
-    x, y = block.alias("x"), block.alias("y")
+    # Of a large block, each row meets one part of the others at a time.
+    parts = F.ceil(F.col("members") / p.block).cast("int")
+    x = block.withColumn("part", F.pmod(F.hash("grp"), parts)).alias("x")
+    y = block.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     crossing = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos"))
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part"))
+    met = x.join(y, same & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos") & _alike(p, "x", "y"))
     met = met.select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")).distinct()
     # Members of one group that its chain left apart are a group pair too.
     met = met.unionByName(spread.where("lo < hi").select(F.col("grp").alias("g1"), F.col("grp").alias("g2")))
@@ -303,9 +334,11 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rest = materialize(rest, "join-rest")
     found = materialize(components(links.unionByName(verified(rest, "join-rest"))), "join-components")
 
-    least = classes.join(found, classes["class"] == found["node"]).groupBy("root").agg(F.min("key").alias("name"))
-    names = found.join(least, "root").select(F.col("node").alias("class"), "name")
-    own = classes.groupBy("class").agg(F.min("key").alias("own"))
-    names = own.join(names, "class", "left").select("class", F.coalesce("name", "own").alias("name"))
-    out = known.select("key", "n", "class").join(names, "class", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("name", "key").alias("component_id"))
+    rooted = classes.join(brief(found), classes["class"] == found["node"], "left").select("class", "key", F.coalesce("root", "class").alias("root"))
+    rooted = materialize(rooted, "join-roots")
+    least = materialize(rooted.groupBy("root").agg(F.min("key").alias("name")), "join-names")
+    names = materialize(rooted.join(brief(least), "root").select("class", "root", "name").dropDuplicates(["class"]), "join-class-names")
+    out = known.select("key", "th", "n", "class").join(brief(names), "class", "left")
+    return out.select(
+        F.col("key").alias(key), "th", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), "root", F.coalesce("name", "key").alias("component_id")
+    )
