@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import brief, lower_ascii, materialize, shuffle_width
 
 #: Stands before the first character.
 PAD = "\x02"
@@ -105,14 +105,18 @@ def url_scores(urls: DataFrame, m: UrlModel = UrlModel()) -> tuple[DataFrame, fl
     """
     spark = urls.sparkSession
     once = urls.where(F.col("url").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
-    once = materialize(once.withColumn("fold", F.crc32(F.col("url").cast("binary")) % 5), "url-distinct")
+    # A number stands for the URL among its characters' rows. Distinct URLs lie in few files; dealt out, they are cut up in parallel.
+    once = once.select(F.monotonically_increasing_id().alias("id"), "url", "label", (F.crc32(F.col("url").cast("binary")) % 5).alias("fold"))
+    once = materialize(once, "url-distinct")
+    dealt = once.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), "id")
     learn = F.col("fold") != 0
-    marked = once.select("url", F.when(learn & (F.col("label") == "allow"), 1).otherwise(0).alias("_a"), F.when(learn & (F.col("label") == "block"), 1).otherwise(0).alias("_r"))
+    marked = dealt.select("url", F.when(learn & (F.col("label") == "allow"), 1).otherwise(0).alias("_a"), F.when(learn & (F.col("label") == "block"), 1).otherwise(0).alias("_r"))
     counts = materialize(_windows(marked, m.order, "_a", "_r").groupBy("g").agg(F.sum("_a").alias("a"), F.sum("_r").alias("r")), "url-windows")
     values = materialize(_values(counts, m), "url-values")
     small = values.count() <= m.broadcast_rows
-    seen = _windows(once, m.order, "url", "label", "fold").join(F.broadcast(values) if small else values, "g")
-    scored = materialize(seen.groupBy("url", "label", "fold").agg((F.sum("llr") / F.count("llr")).alias("score")), "url-scores")
+    seen = _windows(dealt, m.order, "id").join(F.broadcast(values) if small else values, "g")
+    means = materialize(seen.groupBy("id").agg((F.sum("llr") / F.count("llr")).alias("score")), "url-means")
+    scored = materialize(once.join(brief(means), "id").select("url", "label", "fold", "score"), "url-scores")
 
     # The cut between neighbouring bins with the best mean of the two classes' hit rates; of equals the one whose upper bin
     # is nearest 0, then the lower. The threshold is the middle of the gap between the bins.
@@ -133,7 +137,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], *, key: str =
 
     Returns key, host, path, rule, verdict, score. A URL that no rule decides
     is allowed if its score reaches the calibrated threshold; a null or empty
-    URL has no score and is blocked. Repeated rows are judged alike, other
+    URL has no score and is blocked. Of equally long rules block comes first.
+    URLs of any length are read whole; repeated rows are judged alike, other
     columns are ignored, an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
