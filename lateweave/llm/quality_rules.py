@@ -99,6 +99,17 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def cut_points(rows: DataFrame, params: FitParams) -> list[list[float]]:
+    """The thresholds tried for each feature: quantiles of the array column ``x``; no feature if there are no rows."""
+    n, steps = len(features()), [i / params.bins for i in range(1, params.bins)]
+    at = rows.agg(*[F.percentile_approx(F.col("x")[i], steps, 10_000).alias(f"q{i}") for i in range(n)]).first()
+    if at is None or at["q0"] is None:
+        return []
+    # For a feature that is 0 almost everywhere all quantiles can be 0: "more than the minimum" stays possible through the next value.
+    least = rows.agg(*[F.min(F.when(F.col("x")[i] > at[f"q{i}"][-1], F.col("x")[i])).alias(f"m{i}") for i in range(n)]).first()
+    return [sorted({*at[f"q{i}"], *([least[f"m{i}"]] if least[f"m{i}"] is not None else [])}) for i in range(n)]
+
+
 def fit(labelled: DataFrame, params: FitParams = FitParams()) -> DecisionList:
     """Learn the list from labelled statistics.
 
@@ -110,13 +121,9 @@ def fit(labelled: DataFrame, params: FitParams = FitParams()) -> DecisionList:
     names = list(features())
     rows = labelled.where(F.col("bad").isNotNull()).select("bad", (F.col("fold") != 0).alias("grow"), F.array(*features().values()).alias("x"))
     rows = materialize(rows, "quality-labelled")
-    steps = [i / params.bins for i in range(1, params.bins)]
-    at = rows.agg(*[F.percentile_approx(F.col("x")[i], steps, 10_000).alias(f"q{i}") for i in range(len(names))]).first()
-    if at is None or at["q0"] is None:
+    edges = cut_points(rows, params)
+    if not edges:
         return DecisionList()
-    # For a feature that is 0 almost everywhere all quantiles can be 0: "more than the minimum" stays possible through the next value.
-    least = rows.agg(*[F.min(F.when(F.col("x")[i] > at[f"q{i}"][-1], F.col("x")[i])).alias(f"m{i}") for i in range(len(names))]).first()
-    edges = [sorted({*at[f"q{i}"], *([least[f"m{i}"]] if least[f"m{i}"] is not None else [])}) for i in range(len(names))]
 
     def bin_of(i: int) -> Column:
         cuts = F.array(*[F.lit(float(e)) for e in edges[i]])
@@ -185,10 +192,11 @@ def label_rows(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", qual
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", params: FitParams = FitParams()) -> DataFrame:
     """Statistics and verdict of every document.
 
-    Returns key, the statistics, base_failed, rule (number of the rejecting
-    rule or null) and kept. A null or empty text has no words: base_failed.
-    Repeated rows are judged alike; other columns of docs are ignored; an empty
-    table gives an empty result.
+    Returns key, th (hash of the text), the statistics, base_failed, rule
+    (number of the rejecting rule or null) and kept. A null or empty text has
+    no words: base_failed. Texts of any length are read whole; a value equal to
+    a threshold counts as reaching it. Repeated rows are judged alike; other
+    columns of docs are ignored; an empty table gives an empty result.
     """
     stats = materialize(with_stats(docs, key=key, text=text), "quality-stats")
     rules = fit(label_rows(stats, labels, key=key), params)

@@ -45,15 +45,15 @@ def repeat_words(hashes: Column, size: int = WINDOW) -> Column:
 
 
 def with_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the five base counts (long) and the counts behind the further features.
+    """key, th (hash of the text), the five base counts (long) and the counts behind the further features.
 
     Words are [^\\x20\\x09-\\x0D]+. A null or empty text has all counts 0.
     n_upper, n_letters, n_digits and n_marks count characters; n_lines lines with a word.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     return (
-        docs.select(F.col(key).alias(key), t.alias("_t"))
-        .select(key, "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_l"))
+        docs.select(F.col(key).alias(key), F.xxhash64(text).alias("th"), t.alias("_t"))
+        .select(key, "th", "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_l"))
         .select(
             "*",
             F.when(
@@ -63,6 +63,7 @@ def with_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
         )
         .select(
             key,
+            "th",
             F.size("_w").cast("long").alias("n_words"),
             F.length(F.regexp_replace("_t", SPACES, "")).cast("long").alias("word_chars"),
             char_count(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),

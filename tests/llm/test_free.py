@@ -1,5 +1,6 @@
 """N-gram join, LM scoring, language id, line dedup, packing, token files, components: brute force and edge cases."""
 
+import dataclasses
 import math
 import random
 import re
@@ -76,7 +77,7 @@ def near_copies(seed):
 @pytest.mark.parametrize("seed,chain", [(1, (8,)), (2, (1,)), (3, (2, 2))])
 def test_near_duplicates_match_brute_force(spark, seed, chain):
     rows = [*ODD, *near_copies(seed)]
-    p = ngram_join.JoinParams(sample=2, frequent=3, chain=chain)
+    p = ngram_join.JoinParams(sample=2, frequent=3, chain=chain, block=8)
     got = ngram_join.link_components(docs(spark, *rows), params=p).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter(brute_components(rows))
 
@@ -226,7 +227,8 @@ def test_language_counts_and_scores_match_plain_version(spark):
             for g in language_id._ngrams(codes, order, 64) if len(codes) >= order else ():
                 counts[g, m.languages.index(v)] += 1
     want = np.log((counts + p.alpha) / (counts + p.alpha).sum(0))
-    assert m.languages == ["x", "y"] and np.allclose(m.weights, want, atol=1e-5)
+    assert m.languages == ["x", "y"] and np.allclose(m.weights, want, atol=1e-5) and np.allclose(m.prior, np.log([0.5, 0.5]))
+    m = dataclasses.replace(m, prior=np.log([0.9, 0.1]))
     asked = ["abcd", "é", None, "123 !", ""]
     got = language_id.predict(spark.createDataFrame([(i, t, "z") for i, t in enumerate(asked)], "doc_id long, text string, lang string"), m).orderBy("doc_id").collect()
     for r, t in zip(got, asked):
@@ -235,10 +237,30 @@ def test_language_counts_and_scores_match_plain_version(spark):
             continue
         codes = np.array([ord(c) for c in t], np.uint32)
         rows = np.concatenate([language_id._ngrams(codes, o, 64) for o in p.orders if len(codes) >= o])
-        odds = np.exp(want[rows].sum(0) - want[rows].sum(0).max())
+        odds = want[rows].sum(0) + m.prior
+        odds = np.exp(odds - odds.max())
         assert r["lang_pred"] == m.languages[int(odds.argmax())] and math.isclose(r["score"], odds.max() / odds.sum(), rel_tol=1e-4)
 
 
+def test_language_sums_do_not_depend_on_how_much_is_gathered(spark, monkeypatch):
+    p = language_id.LanguageParams(buckets=256)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (0, 1, 2, 3, 50, 400, 3000)]
+    m = language_id.LanguageModel(["x", "y"], np.array([[rng.random() for _ in "xy"] for _ in range(256)], np.float32), np.log([0.3, 0.7]), p)
+    whole = language_id._likelihoods(m, texts)
+    monkeypatch.setattr(language_id, "_GATHER", 14)
+    monkeypatch.setattr(language_id, "_CHUNK", 64)
+    assert np.allclose(language_id._likelihoods(m, texts), whole)
+
+
+def test_many_languages_share_a_smaller_matrix(spark):
+    rows = spark.createDataFrame([(f"{chr(97 + i % 26)}{i} " * 20, f"l{i:03}") for i in range(130)] * 2, "text string, lang string")
+    m = language_id.fit(rows, params=language_id.LanguageParams(max_cells=1 << 14))
+    assert m.weights.shape == (64, 130) and np.allclose(np.exp(m.weights).sum(0), 1, atol=1e-4)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(rows, params=language_id.LanguageParams(max_cells=1 << 12))
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

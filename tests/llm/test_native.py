@@ -1,6 +1,7 @@
 """URL filter, quality rules, decontamination, sharding: contracts, edge cases, brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -67,6 +68,70 @@ def test_every_rule_is_precise_and_covers_in_order(spark):
     assert sum(r["bad"] for r in caught) >= 0.9 * len(caught) and sum(r["bad"] for r in caught) >= 0.7 * sum(r["bad"] for r in rows)
 
 
+def plain_list(rows, edges, p):
+    """Sequential covering in plain Python over (bad, grow, bins) rows."""
+    n_features, rules, all_bad = len(edges), [], None
+    meets = lambda b, c: (b[c[0]] > c[2]) == c[1]
+    left = list(rows)
+    while len(rules) < p.max_rules:
+        conj = []
+        while len(conj) < p.max_conditions:
+            grow = [(bad, b) for bad, g, b in left if g and all(meets(b, c) for c in conj)]
+            p0 = sum(bad for bad, _ in grow)
+            n0 = len(grow) - p0
+            all_bad = p0 if all_bad is None else all_bad
+            if not p0 or not n0 or (conj and p0 >= p.enough * (p0 + n0)):
+                break
+            found = []
+            for i in range(n_features):
+                for k, up in enumerate((True, False)):
+                    for e in range(len(edges[i])):
+                        hit = [bad for bad, b in grow if meets(b, (i, up, e))]
+                        pos, neg = sum(hit), len(hit) - sum(hit)
+                        if pos >= max(p.min_covered, p.min_share * all_bad):
+                            gain = pos * (math.log2(pos / (pos + neg)) - math.log2(p0 / (p0 + n0)))
+                            if gain > 1e-9:
+                                found.append((-gain, i, k, e, (i, up, e)))
+            if not found:
+                break
+            # Floating sums of one gain may differ in the last bits.
+            best = min(x[0] for x in found)
+            conj.append(min(x[1:] for x in found if x[0] <= best * (1 - 1e-12))[-1])
+        if not conj:
+            break
+        worth = []
+        for k in range(1, len(conj) + 1):
+            held = [bad for bad, g, b in left if not g and all(meets(b, c) for c in conj[:k])]
+            worth.append((sum(held) / len(held) if held else 0.0, -k))
+        precision, k = max(worth)
+        if precision < p.min_precision:
+            break
+        rules.append(conj[:-k])
+        left = [(bad, g, b) for bad, g, b in left if not all(meets(b, c) for c in conj[:-k])]
+    return rules
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_learner_matches_plain_sequential_covering(spark, seed):
+    rng = random.Random(seed)
+    p = quality_rules.FitParams(bins=8, min_precision=0.7)
+    schema = "doc_id long, bad int, fold int, " + ", ".join(f"{c} long" for c in (*quality_rules.BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks"))
+    rows = []
+    for i in range(900):
+        v = {c: rng.randrange(1, 40) for c in (*quality_rules.BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")}
+        odd = v["n_words"] < 12 and v["n_symbols"] > 20 or v["n_digits"] > 30 and v["word_chars"] < 20
+        rows.append((i, int(odd != (rng.random() < 0.05)), rng.randrange(3), *v.values()))
+    labelled = spark.createDataFrame(rows, schema)
+    found = quality_rules.fit(labelled, p)
+    names = list(quality_rules.features())
+    x = labelled.select("bad", (F.col("fold") != 0).alias("grow"), *[c.alias(f"f_{n}") for n, c in quality_rules.features().items()])
+    edges = quality_rules.cut_points(x.select("bad", "grow", F.array(*[f"f_{n}" for n in names]).alias("x")), p)
+    binned = [(r["bad"], r["grow"], [sum(e <= r[f"f_{n}"] for e in edges[i]) for i, n in enumerate(names)]) for r in x.collect()]
+    want = tuple(tuple(quality_rules.Condition(names[i], up, edges[i][e]) for i, up, e in rule) for rule in plain_list(binned, edges, p))
+    assert any(len(r) > 1 for r in want)
+    assert found.rules == want
+
+
 def test_no_labels_no_rules(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(docs(spark, (1, "a " * 3 + "b c d e f g h i")), labels).first()["kept"]
