@@ -62,6 +62,41 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             assert out.count() <= rows.count()
 
 
+def test_stages_decide_by_row(spark):
+    """Null, repeated and conflicting ids: a row goes for its own text alone, and one row of every component stays."""
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = {r["doc_id"]: r["text"] for r in quality_rules.judge(base, spark.read.parquet(f"{DATA}/labels.parquet")).where("kept").join(base.select("doc_id", "text"), "doc_id").collect()}
+    texts = [t for t in good.values() if len(t.split()) > 40][:6]
+    row = lambda i, t, s="s": (i, t, "en", s, len(t or ""))
+    rows = [row(i, t) for i, t in good.items()]
+    extra = [row(10**9, texts[0] + " tail"), row(10**9, "too short"), row(None, "too short"), row(None, None), row(10**9 + 1, "a lone text " + " ".join(f"q{k}" for k in range(60)), "b")]
+    extra += [row(10**9 + 1, "a lone text " + " ".join(f"q{k}" for k in range(60)), s) for s in "cab"] + [row(None, "nobody's text " + " ".join(f"z{k}" for k in range(60)))] * 3
+    docs = spark.createDataFrame(rows + extra, base.schema)
+    judged = corpus_pipeline.quality_rules(spark, docs, DATA)
+    keys = Counter((r["doc_id"], r["text"]) for r in judged.collect())
+    # The rules may be others with further rows, but a verdict follows the text.
+    verdict = {r["text"]: r["kept"] for r in quality_rules.judge(docs, spark.read.parquet(f"{DATA}/labels.parquet")).join(docs.select("doc_id", "text").distinct(), "doc_id").where("th = xxhash64(text)").collect()}
+    assert keys == Counter((i, t) for i, t, *_ in rows + extra if t is not None and verdict.get(t, t.startswith("nobody")))
+    assert (10**9, "too short") not in keys and (None, "too short") not in keys and (None, None) not in keys
+
+    left = Counter(tuple(r) for r in corpus_pipeline.ngram_jaccard(spark, docs, DATA).collect())
+    components = {}
+    for (i, t), (_, n, name) in zip([x[:2] for x in rows + extra], brute_roots([x[:2] for x in rows + extra])):
+        components.setdefault(name, []).append((i, t))
+    assert sum(left.values()) == len(components)
+    chosen = Counter((i, t) for i, t, *_ in left.elements())
+    for members in components.values():
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert sum(chosen[m] for m in {m for m in members if m[0] == least}) >= 1
+    assert left[row(10**9 + 1, "a lone text " + " ".join(f"q{k}" for k in range(60)), "a")] == 1
+    assert chosen[None, "nobody's text " + " ".join(f"z{k}" for k in range(60))] == 1 and chosen[None, None] == 1
+
+
+def brute_roots(rows):
+    """As brute_components(), with the position of a component's first row for its name."""
+    return [(k, n, name) for (k, _), (_, n, name) in zip(rows, brute_components([(i, t) for i, (_, t) in enumerate(rows)]))]
+
+
 def test_registered():
     queries = __spark_entry__.queries()
     assert "pipeline" in queries and {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in queries if q.startswith("op")}
