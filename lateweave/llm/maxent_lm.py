@@ -8,11 +8,16 @@ the corpus counts as base measure and add the weights of hashed features of the
 history: the word before, the two before together, and the second and third
 word before as skips.
 
-Counts cover all training documents. Weights are trained by distributed
-gradient updates: in each round every task takes the current weights through
-its own documents by minibatch AdaGrad, and the tasks' weights are averaged
-block by block in a shuffle. Scoring works in numpy batches. Word counts beyond
-the bounded table that workers hold are joined by a shuffle.
+Counts cover all training documents. Weights are trained by synchronous
+distributed gradient updates. The gradient of a weight is how often its feature
+and its class occur together less how often the model expects them to; both are
+sums over all positions of all training documents, added up in each task and
+then over the tasks by a tree of shuffles, so that the partitioning decides
+nothing. An update scales the gradient iteratively: each weight moves by a share
+of ln(observed / expected), both smoothed. At weights of 0 the expectation
+follows from counts alone, so that the first update takes no softmax; each round
+after it is one pass of softmaxes. Scoring works in numpy batches. Word counts
+beyond the bounded table that workers hold are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -43,12 +48,15 @@ class LmParams:
     buckets: int = 1 << 13
     #: Word counts that workers hold (sorted arrays of 16 bytes a word); others are joined.
     held_counts: int = 1 << 18
-    #: Training rounds; each takes every position of every training document.
+    #: The update from weights of 0: share of ln(observed / expected), and how many expected ones are added to both.
+    start_rate: float = 0.5
+    start_smoothing: float = 24.0
+    #: Rounds after it; each takes every position of every training document.
     rounds: int = 1
+    rate: float = 0.5
+    smoothing: float = 1000.0
     #: Weights stay within this, so that sums of them have exponentials.
     most: float = 15.0
-    minibatch: int = 2048
-    rate: float = 0.25
     #: Bytes of text to a chunk: its arrays fit a core's cache.
     chunk: int = 1 << 14
 
@@ -213,106 +221,189 @@ def _powered(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.n
     return x, x.sum(1), at
 
 
-def _gradient(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    x, total, _ = _powered(base, table, rows, target)
-    x /= total[:, None]
-    x[np.arange(len(target)), target] -= 1
-    return x
-
-
 def _log10_prob(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     _, total, at = _powered(base, table, rows, target)
     return (at - np.log(total)).astype(np.float64) / _LOG10
 
 
-def _update(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray, p: LmParams) -> None:
-    """One AdaGrad step on the rows of a minibatch; a row has one step size."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    total = np.add.reduceat(grad.take(order % grad.shape[0], 0), first, axis=0)
-    at = ordered[first]
-    square[at] += (total * total).mean(1)
-    table[at] = np.clip(table[at] - (p.rate / np.sqrt(square[at] + 1e-6))[:, None] * total, -p.most, p.most)
+#: Tokens to a softmax: a long text's logits are never there all at once.
+_SOFTMAX = 1 << 12
+
 
+def _slices(cls: np.ndarray, place: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return ((cls[i : i + _SOFTMAX], place[i : i + _SOFTMAX], features[:, i : i + _SOFTMAX]) for i in range(0, len(cls), _SOFTMAX))
 
-def _step(m: LmModel, squares: tuple[np.ndarray, np.ndarray], cls: np.ndarray, place: np.ndarray, features: np.ndarray) -> None:
+
+def _class_and_place(m: LmModel, cls: np.ndarray, place: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability of its class, and of its place there if it is a frequent word."""
     p = m.params
-    rows = _rows(features, p)
-    _update(m.by_class, squares[0], rows, _gradient(m.class_base, m.by_class, rows, cls), p)
+    value = _log10_prob(m.class_base, m.by_class, _rows(features, p), cls)
     own = np.flatnonzero(place >= 0)
     if len(own):
-        rows = _rows(features[:, own], p, cls[own])
-        _update(m.by_word, squares[1], rows, _gradient(m.word_base[cls[own]], m.by_word, rows, place[own]), p)
+        value[own] += _log10_prob(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]), place[own])
+    return value
+
+
+def _expectation(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray, total: np.ndarray) -> None:
+    """Add each token's distribution to the rows of ``total`` of its features."""
+    x, norm, _ = _powered(base, table, rows, target)
+    x /= norm[:, None]
+    at, sums = _segment_sums(x, rows)
+    total[at] += sums
+
 
+#: Rows added up at a time by _segment_sums().
+_WIDE = 4
 
+
+def _segment_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of the values that fall on them): by whole-array gathers of every first, second .. of _WIDE members, level by level."""
+    flat = rows.astype(np.uint16 if rows.max(initial=0) < 1 << 16 else np.uint32).ravel()
+    order = np.argsort(flat, kind="stable")
+    name, at = flat[order], order % values.shape[0]
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        size = np.diff(np.append(first, len(name)))
+        parts = -(-size // _WIDE)
+        start = np.repeat(first, parts) + _WIDE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        left = np.minimum(_WIDE, np.repeat(first + size, parts) - start)
+        sums = values.take(at[start], 0)
+        for k in range(1, _WIDE):
+            more = np.flatnonzero(left > k)
+            sums[more] += values.take(at[start[more] + k], 0)
+        if len(start) == len(first):
+            return name[first].astype(np.int64), sums
+        values, name, at = sums, name[start], np.arange(len(start))
+
+
+#: Tables go through the shuffle in so many blocks.
 _BLOCKS = 16
 
 
-def _trained(model):
+def _blocks(whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array([TaskContext.get().partitionId()] * _BLOCKS, pa.int32()), pa.array([x.tobytes() for x in np.array_split(whole, _BLOCKS)], pa.binary())],
+        ["block", "part", "w"],
+    )
+
+
+#: Tokens counted at a time.
+_COUNTED = 1 << 16
+
+
+def _observed(model):
+    """How often each row meets each class, each place in a class and each frequent class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
-        p = m.params
-        m = dataclasses.replace(m, by_class=m.by_class.copy(), by_word=m.by_word.copy())
-        squares = np.full(p.buckets, 0.05, np.float32), np.full(p.buckets, 0.05, np.float32)
-        seen, wait = 0, []
+        p, classes = m.params, m.by_class.shape[1]
+        whole = [np.zeros(p.buckets * width, np.int64) for width in (classes, p.class_words, p.frequent_classes)]
+
+        def add(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            cls, place, features = (np.concatenate([x[i] for x in held], -1) for i in range(3))
+            own = np.flatnonzero(place >= 0)
+            for row in _rows(features, p):
+                whole[0] += np.bincount(row * classes + cls, minlength=len(whole[0]))
+            for row in _rows(features[:, own], p, cls[own]):
+                whole[1] += np.bincount(row * p.class_words + place[own], minlength=len(whole[1]))
+                whole[2] += np.bincount(row * p.frequent_classes + cls[own], minlength=len(whole[2]))
+
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
-                wait.append(_contexts(m, h, doc))
-                if sum(len(x[0]) for x in wait) >= p.minibatch:
-                    held = [np.concatenate([x[i] for x in wait], -1) for i in range(3)]
-                    whole = len(held[0]) - len(held[0]) % p.minibatch
-                    for k in range(0, whole, p.minibatch):
-                        _step(m, squares, *(x[..., k : k + p.minibatch] for x in held))
-                    seen += whole
-                    wait = [tuple(x[..., whole:] for x in held)]
-        if sum(len(x[0]) for x in wait):
-            seen += sum(len(x[0]) for x in wait)
-            _step(m, squares, *(np.concatenate([x[i] for x in wait], -1) for i in range(3)))
+                held.append(_contexts(m, h, doc))
+                if sum(len(x[0]) for x in held) >= _COUNTED:
+                    add(held)
+                    held = []
+        if held:
+            add(held)
+        if whole[0].any():
+            yield _blocks(np.concatenate([x.reshape(p.buckets, -1) for x in whole], 1))
+
+    return run
+
+
+def _expected(model):
+    """How often the model expects each row to meet each class, and each place in a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: LmModel = model.value
+        p, seen = m.params, False
+        by_class, by_word = (np.zeros(x.shape, np.float64) for x in (m.by_class, m.by_word))
+        for batch in batches:
+            for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
+                seen = True
+                for cls, place, features in _slices(*_contexts(m, h, doc)):
+                    _expectation(m.class_base, m.by_class, _rows(features, p), cls, by_class)
+                    own = np.flatnonzero(place >= 0)
+                    if len(own):
+                        _expectation(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]), place[own], by_word)
         if seen:
-            whole = np.concatenate([m.by_class, m.by_word], 1).astype(np.float16)
-            parts = np.array_split(whole, _BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array([TaskContext.get().partitionId()] * _BLOCKS, pa.int32()), pa.array([float(seen)] * _BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "part", "weight", "w"])
+            yield _blocks(np.concatenate([by_class, by_word], 1).astype(np.float32))
 
     return run
 
 
-def _averaged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """One row for the rows of a group: the weighted mean of their weights."""
-    total, weight = None, 0.0
-    for x, w in zip(rows["weight"].to_pylist(), rows["w"]):
-        part = np.frombuffer(w.as_buffer(), np.float16).astype(np.float32) * x
-        total = part if total is None else total + part
-        weight += x
-    data = (total / weight).astype(np.float16).tobytes()
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "weight": [weight], "w": pa.array([data], pa.binary())})
+def _added(dtype: type, wide: type):
+    """One row for the rows of a group: the sum of their numbers."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(w.as_buffer(), dtype).astype(wide) for w in rows["w"]), np.zeros(1, wide))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "w": pa.array([total.astype(dtype).tobytes()], pa.binary())})
+
+    return run
 
 
 #: Blocks that one task adds up at a time.
 _FAN = 64
 
 
+def _gathered(rows: DataFrame, count, shape: tuple[int, int], dtype: type) -> np.ndarray:
+    """The sum over all tasks of the tables that ``count`` makes; zeros if there are none."""
+    schema = "block int, part int, w binary"
+    done = rows.mapInArrow(count, schema)
+    # A tree: no task adds up more than _FAN blocks.
+    width = done.rdd.getNumPartitions()
+    while True:
+        done = done.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(_added(dtype, np.float64 if dtype is np.float32 else dtype), schema)
+        width = -(-width // _FAN)
+        if width <= 1:
+            break
+    found = done.toArrow().sort_by("block")
+    return np.concatenate([np.frombuffer(x, dtype) for x in found["w"].to_pylist()]).reshape(shape) if found.num_rows else np.zeros(shape, dtype)
+
+
+def _move(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, base: np.ndarray, rate: float, smoothing: float, most: float) -> np.ndarray:
+    """The weights after one update; ``smoothing`` positions distributed as the base are added to both sides."""
+    added = smoothing * base
+    return np.clip(weights + rate * np.log((observed + added) / (expected + added)), -most, most).astype(np.float32)
+
+
 def train(docs: DataFrame, counts: DataFrame, p: LmParams, text: str = "text") -> LmModel:
-    """The model after p.rounds rounds over all of docs."""
+    """The model after the first update and p.rounds rounds, all of them over all of docs."""
     spark, m = docs.sparkSession, _start(counts, p)
-    rows, schema = docs.select(F.col(text).cast("string").alias("text")), "block int, part int, weight double, w binary"
-    classes = m.by_class.shape[1]
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    classes, words = m.by_class.shape[1], p.class_words
+    shared = spark.sparkContext.broadcast(m)
+    whole = _gathered(rows, _observed(shared), (p.buckets, classes + words + p.frequent_classes), np.int64)
+    shared.destroy()
+    by_class, by_word, own = whole[:, :classes], whole[:, classes : classes + words], whole[:, classes + words :]
+    # At weights of 0 every position has the base measure of its classes, or of its class's words.
+    class_base = np.exp(m.class_base.astype(np.float64))[None] + 1e-12
+    word_expected = own @ np.exp(m.word_base.astype(np.float64))
+    n = word_expected.sum(1, keepdims=True)
+    word_base = np.where(n > 0, word_expected / np.maximum(n, 1e-12), 1 / words) + 1e-9
+
+    def moved(expected: tuple[np.ndarray, np.ndarray], rate: float, smoothing: float) -> LmModel:
+        at = _move(m.by_class, by_class, expected[0], class_base, rate, smoothing, p.most), _move(m.by_word, by_word, expected[1], word_base, rate, smoothing, p.most)
+        return dataclasses.replace(m, by_class=at[0], by_word=at[1])
+
+    m = moved((by_class.sum(1, keepdims=True) * class_base, word_expected), p.start_rate, p.start_smoothing)
     for _ in range(p.rounds):
         shared = spark.sparkContext.broadcast(m)
-        done = rows.mapInArrow(_trained(shared), schema)
-        # A tree: no task adds up more than _FAN blocks.
-        width = done.rdd.getNumPartitions()
-        while True:
-            done = done.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(_averaged, schema)
-            width = -(-width // _FAN)
-            if width <= 1:
-                break
-        done = done.toArrow().sort_by("block")
-        if done.num_rows:
-            whole = np.concatenate([np.frombuffer(x, np.float16) for x in done["w"].to_pylist()]).astype(np.float32).reshape(p.buckets, -1)
-            m = dataclasses.replace(m, by_class=np.ascontiguousarray(whole[:, :classes]), by_word=np.ascontiguousarray(whole[:, classes:]))
+        expected = _gathered(rows, _expected(shared), (p.buckets, classes + words), np.float32).astype(np.float64)
         shared.destroy()
+        m = moved((expected[:, :classes], expected[:, classes:]), p.rate, p.smoothing)
     return m
 
 
@@ -329,10 +420,8 @@ def _scored(model):
                 c = np.where(held, m.held_c[at] if len(m.held) else 0, 0)
                 half = np.where(held, np.log10(c + 0.5), 0.0)
                 cls, place, features = _contexts(m, h, doc)
-                value = _log10_prob(m.class_base, m.by_class, _rows(features, p), cls)
-                own, other = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
-                if len(own):
-                    value[own] += _log10_prob(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]), place[own])
+                value = np.concatenate([_class_and_place(m, *x) for x in _slices(cls, place, features)])
+                other = np.flatnonzero(place < 0)
                 # The other words: (c + 0.5) over their class; of words not held the count comes later.
                 value[other] += half[other] - m.suffix_norm[(h[other] & _SUFFIX).astype(np.int64)] / _LOG10
                 for k, x in enumerate((None, held, half, value)):
@@ -359,7 +448,9 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: L
     Returns key, held_out, n_tokens (words and one end), n_known, train_tokens,
     base_score and score (log10 probabilities of the text under the add-half
     unigram and under the model). A null or empty text is the end alone.
-    Without training rows the unigram gives every token probability 1. Repeated
+    Without training rows the unigram gives every token probability 1. Texts of
+    any length are learned from and scored whole, a chunk at a time; of equally
+    frequent words those with the smaller hash are modelled first. Repeated
     rows count and are scored each; other columns are ignored; an empty table
     gives an empty result.
     """

@@ -316,15 +316,89 @@ def test_lm_distribution_sums_to_one(spark):
     assert len(history) == 2 and math.isclose(total, 1.0, abs_tol=1e-3)
 
 
-def test_lm_learns_from_every_position(spark):
+SMALL = maxent_lm.LmParams(frequent_classes=2, class_words=3, suffix_classes=4, buckets=32, held_counts=100, start_smoothing=2.0, smoothing=5.0, rounds=2)
+
+
+def test_lm_training_matches_a_plain_trainer(spark):
+    """Observed and expected counts position by position, in plain loops over words."""
+    p, texts = SMALL, ["a b c a b d e f g a b c", "b a c d a b", None, "x y z a b c", "a b c a b c a b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = maxent_lm.count_words(rows, p)
+    start, got = maxent_lm._start(counts, p), maxent_lm.train(rows, counts, p)
+    positions = []
+    for t in texts:
+        h, doc, _, _ = next(maxent_lm._chunks([t], p))
+        cls, place, features = maxent_lm._contexts(start, h, doc)
+        plain, by = maxent_lm._rows(features, p), maxent_lm._rows(features, p, cls)
+        positions += [(int(c), int(w), list(map(int, plain[:, i])), list(map(int, by[:, i]))) for i, (c, w) in enumerate(zip(cls, place))]
+    classes = len(start.class_base)
+    tables = [[[0.0] * classes for _ in range(p.buckets)], [[0.0] * p.class_words for _ in range(p.buckets)]]
+
+    def softmax(base, rows_of_table):
+        x = [b + sum(r[i] for r in rows_of_table) for i, b in enumerate(base)]
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    bases = [[[math.exp(b) + 1e-12 for b in start.class_base]] * p.buckets, None]
+    for turn in range(p.rounds + 1):
+        seen = [[[0.0] * len(t[0]) for _ in t] for t in tables]
+        wanted = [[[0.0] * len(t[0]) for _ in t] for t in tables]
+        for c, w, plain, by in positions:
+            q = softmax(start.class_base, [tables[0][r] for r in plain])
+            for r in plain:
+                seen[0][r][c] += 1
+                wanted[0][r] = [x + y for x, y in zip(wanted[0][r], q)]
+            if w >= 0:
+                q = softmax(start.word_base[c], [tables[1][r] for r in by])
+                for r in by:
+                    seen[1][r][w] += 1
+                    wanted[1][r] = [x + y for x, y in zip(wanted[1][r], q)]
+        if turn == 0:
+            bases[1] = [[(x / sum(r) if sum(r) else 1 / p.class_words) + 1e-9 for x in r] for r in wanted[1]]
+        rate, extra = (p.start_rate, p.start_smoothing) if turn == 0 else (p.rate, p.smoothing)
+        for t, o, e, base in zip(tables, seen, wanted, bases):
+            for r in range(p.buckets):
+                t[r] = [x + rate * math.log((a + extra * b) / (d + extra * b)) for x, a, d, b in zip(t[r], o[r], e[r], base[r])]
+    assert np.allclose(got.by_class, tables[0], atol=2e-4) and np.allclose(got.by_word, tables[1], atol=2e-4)
+    assert np.abs(got.by_class).max() > 0.1 and np.abs(got.by_word).max() > 0.1
+
+
+def test_lm_counts_every_position(spark):
     rows = docs(spark, *[(i, " ".join(f"w{(i * 200 + k) % 1500}" for k in range(900))) for i in range(8)])
     p = maxent_lm.LmParams()
-    counts = maxent_lm.count_words(rows, p)
-    m = maxent_lm._start(counts, p)
+    m = maxent_lm._start(maxent_lm.count_words(rows, p), p)
     assert len(m.words) == 1501  # every word and the end are modelled word by word
-    shared = spark.sparkContext.broadcast(m)
-    done = rows.select("text").mapInArrow(maxent_lm._trained(shared), "block int, part int, weight double, w binary")
-    assert sum(r["weight"] for r in done.where("block = 0").collect()) == m.tokens == 8 * 901
+    width = m.by_class.shape[1] + p.class_words + p.frequent_classes
+    whole = maxent_lm._gathered(rows.select("text"), maxent_lm._observed(spark.sparkContext.broadcast(m)), (p.buckets, width), np.int64)
+    assert whole[:, : m.by_class.shape[1]].sum() == whole[:, m.by_class.shape[1] : -p.frequent_classes].sum() == 4 * m.tokens == 4 * 8 * 901
+    expected = maxent_lm._gathered(rows.select("text"), maxent_lm._expected(spark.sparkContext.broadcast(m)), (p.buckets, width - p.frequent_classes), np.float32)
+    assert math.isclose(expected[:, : m.by_class.shape[1]].sum(dtype=np.float64), 4 * m.tokens, rel_tol=1e-4)
+
+
+@pytest.mark.parametrize("n,width,top", [(1, 3, 1), (7, 2, 3), (500, 5, 4), (300, 1, 300)])
+def test_lm_segment_sums(n, width, top):
+    rng = np.random.default_rng(n)
+    values, rows = rng.random((n, width)), rng.integers(0, top, (4, n))
+    at, sums = maxent_lm._segment_sums(values, rows)
+    want = np.zeros((top, width))
+    for r in rows:
+        np.add.at(want, r, values)
+    assert at.tolist() == sorted(set(rows.ravel().tolist())) and np.allclose(sums, want[at])
+
+
+def test_lm_scores_do_not_depend_on_the_partitioning(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r for r in maxent_lm.score(rows.repartition(n, "doc_id")).collect()} for n in (1, 16))
+    assert one.keys() == many.keys() and all(math.isclose(one[k]["score"], many[k]["score"], rel_tol=1e-4, abs_tol=1e-3) for k in one)
+    held = [r for r in one.values() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.33
+
+
+def test_lm_takes_very_long_texts(spark):
+    rows = docs(spark, (1, "many words of a very long text " * 60_000), (2, "x" * 2_000_000), (3, "short"))
+    got = {r["doc_id"]: r for r in maxent_lm.score(rows).collect()}
+    assert got[1]["n_tokens"] == 420_001 and got[2]["n_tokens"] == 2 and all(math.isfinite(r["score"]) for r in got.values())
 
 
 def test_no_documents_to_score(spark):
