@@ -109,8 +109,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     coverage, n_slots (placeholders compared), changed (whether a slot has
     another value than in the item) and first_word (position of the first
     match). Null and empty texts leak nothing, nor is an item without a word
-    looked for; repeated items or rows give a pair each, and
-    other columns are ignored.
+    looked for; texts of any length are read whole; an item covered to exactly
+    the least share is leaked. Items of one text give a pair each, rows that
+    repeat a key and text one pair together; other columns are ignored; empty
+    tables give an empty result.
     """
     p = params
     bench = materialize(benchmark_windows(benchmark, p, key=item_key, text=item_text), "leaks-benchmark")
@@ -118,13 +120,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     few = bench.count() <= p.broadcast_rows
     narrow = bench.select("h", "size", "item", F.col("pos").alias("ipos"), "exact", "slotted", "n_words")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    words = {exact: rows.select("key", "th", of(F.col("text")).alias("_w")) for exact, of in ((False, template), (True, slots))}
-    hits = None
-    for exact, size in kinds or [(False, p.window)]:
-        at = words[exact].select("key", "th", F.posexplode(_hashes(F.col("_w"), size)).alias("pos", "h"))
-        of = narrow.where((F.col("size") == size) & (F.col("exact") == exact)).drop("exact")
-        hit = at.join(F.broadcast(of) if few else of, "h")
-        hits = hit if hits is None else hits.unionByName(hit)
+    # One pass, whatever kinds of windows the items have: each kind's windows are part of one array.
+    needed = {exact: of(F.col("text")).alias(name) for exact, of, name in ((False, template, "_t"), (True, slots, "_o")) if any(e == exact for e, _ in kinds)}
+    words = rows.select("key", "th", *needed.values())
+
+    def windows(exact: bool, size: int) -> Column:
+        return F.transform(_hashes(F.col("_o" if exact else "_t"), size), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(size).alias("size"), F.lit(exact).alias("exact")))
+
+    none = F.array().cast("array<struct<h:bigint,pos:int,size:int,exact:boolean>>")
+    at = words.select("key", "th", F.explode(F.concat(*[windows(*k) for k in kinds]) if kinds else none).alias("x")).select("key", "th", "x.*")
+    hits = at.join(F.broadcast(narrow) if few else narrow, ["h", "size", "exact"]).drop("exact")
     hits = materialize(hits.withColumn("shift", F.col("pos") - F.col("ipos")), "leaks-hits")
 
     # Slots of the matches that have any; documents without such a match are not read again.
@@ -146,9 +151,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     runs = runs.alias("r").join(m, F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.th") == F.col("m.th")) & F.col("r.item").eqNullSafe(F.col("m.item")) & (F.col("r.shift") == F.col("m.shift")), "left")
     gone = F.coalesce("m.gone", F.array().cast("array<int>"))
     runs = runs.select("r.key", "r.th", "r.item", "r.shift", F.filter("r.at", lambda x: ~F.array_contains(gone, x["ipos"])).alias("at"), "r.n_words", F.coalesce("m.n", F.lit(0)).alias("n"), F.coalesce("m.moved", F.lit(0)).alias("moved")).where(F.size("at") > 0)
-    runs = runs.withColumn("first", F.col("shift") + F.array_min("at")["ipos"])
-    found = runs.groupBy("key", "th", "item").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.min("first").alias("first"), F.max("n_words").alias("n_words"), F.sum("n").alias("n"), F.max("moved").alias("moved")
+    # A set of the item's windows, however often the document repeats them.
+    each = runs.withColumn("first", F.col("shift") + F.array_min("at")["ipos"]).select("key", "th", "item", "first", "n_words", "n", "moved", F.posexplode("at").alias("k", "x"))
+    found = each.groupBy("key", "th", "item").agg(
+        F.array_sort(F.collect_set("x")).alias("at"), F.min("first").alias("first"), F.max("n_words").alias("n_words"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("n"), F.max("moved").alias("moved")
     )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
     covered = F.aggregate("at", zero, lambda s, x: F.struct((x["ipos"] + x["size"]).alias("end"), (s["sum"] + F.least(x["size"], x["ipos"] + x["size"] - s["end"])).alias("sum")))["sum"]

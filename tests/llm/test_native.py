@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lateweave.llm import decontamination, quality_rules, sharding, text_stats, url_filter
 
+from .brute_leaks import coverage
+
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, row int, h string, _key string"
 
@@ -239,6 +241,31 @@ def test_verbatim_copies_of_items_without_words_of_their_own(spark):
     assert sorted((r["doc_id"], r["item"], r["coverage"], r["changed"]) for r in found) == [(i, i, 1.0, False) for i in range(5)]
 
 
+def test_leaks_match_brute_force(spark):
+    base, p = "/root/testdata/sf0.001", decontamination.LeakParams()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
+    items += [(10_000, "What is 5 plus 7?"), (10_001, ITEM), (10_002, "Evaluate 12 + 5 * 3 - 8 / 2"), (10_003, ITEM)]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
+    rng = random.Random(9)
+    for i in range(60):
+        # An item among other words, some of its values replaced throughout or here and there.
+        text = rng.choice(items)[1]
+        for n in set(re.findall(r"\d+", text)):
+            if rng.random() < 0.6:
+                text = re.sub(rf"\b{n}\b", str(rng.randrange(100)), text, count=rng.choice([0, 1]))
+        rows.append((20_000 + i, f"Some words before. {text} " + rng.choice(["And some after.", "", text])))
+    found = decontamination.find_leaks(docs(spark, *rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item"]): (r["covered_words"], r["item_words"]) for r in found.collect()}
+    want = {(i, j): c for i, t in rows for j, x in items if (c := coverage(t, x))[1] and c[0] >= c[1] * p.min_coverage}
+    assert got == want and len(want) > 60
+
+
+def test_what_is_five_plus_seven(spark):
+    items = spark.createDataFrame([(1, "What is 5 plus 7?")], "item_id long, text string")
+    found = decontamination.find_leaks(docs(spark, (1, "They ask: what is 5 plus 7? It is easy."), (2, "What is 5 plus 8?")), items)
+    assert [r["doc_id"] for r in found.collect()] == [1]
+
+
 def test_no_leaks_in_empty_tables(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontamination.find_leaks(spark.createDataFrame([], DOCS), items).count() == 0
