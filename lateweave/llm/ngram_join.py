@@ -238,22 +238,26 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     schema = f"key {kind}, th long, n long, class long, grp long, prefix array<long>, rare int, sketch binary, parity array<long>"
     known = materialize(rows.mapInArrow(_prefixes(p, frequent), schema), "join-prefixes")
 
-    # Blocks: groups that share a prefix shingle. Those of rare shingles are small; rows of one group next to each other are its copies
-    # from other tasks. Those of frequent shingles are counted, and their rows joined with the counts.
+    # Blocks: groups that share a prefix shingle. Those of rare shingles are small; a group's rows from several tasks stand side by side there.
     heads = known.where(F.col("prefix").isNotNull())
-    each = heads.select("grp", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
-    order = Window.partitionBy("s").orderBy("n", "grp")
-    each = each.withColumn("before", F.lag("grp").over(order)).withColumn("after", F.lead("grp").over(order))
-    small = each.where((F.col("before") != F.col("grp")) | (F.col("after") != F.col("grp"))).select("s", "grp", "n", "pos", F.lit(1).cast("long").alias("members"))
-    each = heads.where(F.size("prefix") > F.col("rare")).select("grp", "n", F.posexplode("prefix").alias("pos", "s"), "rare").where("pos >= rare").drop("rare")
-    sizes = each.groupBy("s").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("members")).where("a < b").select("s", "members")
-    large = each.join(brief(materialize(sizes, "join-sizes")), "s").select("s", "grp", "n", "pos", "members")
-    shared = materialize(small.unionByName(large).dropDuplicates(["s", "grp"]), "join-blocks")
-
-    classes = known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch"), F.any_value("parity").alias("parity"))
+    each = heads.select("grp", F.col("n").cast("int").alias("n"), F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("pos", "s"))
+    whole, order = Window.partitionBy("s"), Window.partitionBy("s").orderBy("grp")
+    each = each.select("*", F.min("grp").over(whole).alias("a"), F.max("grp").over(whole).alias("b"), F.lag("grp").over(order).alias("before"))
+    small = each.where((F.col("a") != F.col("b")) & ~F.col("before").eqNullSafe(F.col("grp"))).select("s", "grp", "n", "pos", F.lit(1).alias("members"))
+    small = materialize(small, "join-small")
+    # Those of frequent shingles are counted, and their rows joined with the counts.
+    each = heads.where(F.size("prefix") > F.col("rare")).select("grp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "s"), "rare").where("pos >= rare").drop("rare")
+    sizes = each.groupBy("s").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).cast("int").alias("members")).where("a < b").select("s", "members")
+    large = materialize(each.join(brief(materialize(sizes, "join-sizes")), "s").select("s", "grp", "n", "pos", "members").dropDuplicates(["s", "grp"]), "join-large")
+    # The bits of a group of several sets are unknown.
+    groups = materialize(large.select("grp").distinct(), "join-large-groups")
+    sole = known.where(F.col("class").isNotNull()).join(brief(groups), "grp", "left_semi").groupBy("grp").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.any_value("parity").alias("parity"))
+    sole = materialize(sole.select("grp", F.when(F.col("a") == F.col("b"), F.col("parity")).alias("parity")), "join-parity")
+
+    classes = known.where(F.col("class").isNotNull()).groupBy("class", "grp").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch"))
     classes = materialize(classes, "join-classes")
     sketches = classes.select("class", "n", "sketch")
-    first = classes.groupBy("grp").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members"))
+    first = materialize(classes.groupBy("grp").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("members")), "join-first")
     inside = classes.join(first.where("members > 1").select("grp"), "grp").select(F.col("class").alias("a"), F.lag("class").over(Window.partitionBy("grp").orderBy("class")).alias("b")).where("b IS NOT NULL")
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
@@ -271,62 +275,59 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 
-    def neighbours(block: DataFrame, turns: int, seed: int) -> DataFrame:
+    def neighbours(block: DataFrame, turns: int, seed: int, clustered: bool) -> DataFrame:
         """(a, b): each group's first class, and its predecessor's and its hub's, in the group's first ``turns`` blocks where the two aren't one cluster yet.
 
         The order differs from block to block, so that a group meets several others of its size.
         """
-        band = F.floor(F.log(F.col("n")) / math.log(p.band))
+        band = F.floor(F.log(F.col("n")) / math.log(p.band)).cast("int")
         # The parts of a large block differ from shingle to shingle, so that groups of one part here are in several there.
-        part = F.pmod(F.xxhash64("grp", "s", F.lit(seed + 100)), F.ceil(F.col("members") / p.block))
-        mixed = Window.partitionBy("s", "part").orderBy(band, F.xxhash64("grp", "s", F.lit(seed)))
+        part = F.pmod(F.xxhash64("grp", "s", F.lit(seed + 100)), F.ceil(F.col("members") / p.block)).cast("int")
+        mixed = Window.partitionBy("s", "part").orderBy("band", F.xxhash64("grp", "s", F.lit(seed)))
         # A hub has the fewest shingles of its own before the block's: what edited copies have in common.
-        hub = Window.partitionBy("s", "part", band).orderBy("pos", F.xxhash64("grp", F.lit(seed)))
-        each = block.select("s", "grp", "n", "pos", "lo", "hi", part.alias("part"))
-        found = None
-        for window, take in ((mixed, F.lag), (hub, F.first)):
-            near = each.select("grp", "n", "pos", "lo", "hi", *[take(c).over(window).alias(f"{c}2") for c in ("grp", "n", "pos", "lo", "hi")])
-            apart = (F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2"))
-            near = near.where(F.col("grp2").isNotNull() & (F.col("grp") != F.col("grp2")) & apart & _bounds(p, "n", "pos", "n2", "pos2"))
-            near = near.withColumn("turn", F.row_number().over(Window.partitionBy("grp").orderBy("pos"))).where(F.col("turn") <= turns)
-            near = near.select(F.least("grp", "grp2").alias("x"), F.greatest("grp", "grp2").alias("y"))
-            found = near if found is None else found.unionByName(near)
-        return found.distinct().join(f1, F.col("x") == F.col("g1")).join(f2, F.col("y") == F.col("g2")).select("a", "b")
-
-    def opened(links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Classes and groups with their clusters so far (lowest and highest of a group), and the blocks that hold several."""
-        if links is None:
-            named = classes.select("class", "grp", "parity", F.col("class").alias("cluster"))
-        else:
-            clusters = materialize(components(links), f"{name}-clusters")
-            named = classes.join(brief(clusters), classes["class"] == clusters["node"], "left").select("class", "grp", "parity", F.coalesce("root", "class").alias("cluster"))
-        # The bits of a group of several sets are unknown.
-        spread = named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.any_value("parity")).alias("parity"))
-        block = shared.join(spread, "grp")
-        if links is None:
-            return named, spread, materialize(block.drop("parity"), f"{name}-open")
-        block = materialize(block, f"{name}-blocks")
-        several = block.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s")
-        return named, spread, block.join(brief(materialize(several, f"{name}-several")), "s", "left_semi")
-
-    links, pairs = None, inside
-    for turn, width in enumerate(p.chain):
-        named, spread, block = opened(links, f"join-{turn}")
-        tried = materialize(neighbours(block, width, turn).unionByName(pairs).distinct() if links is None else neighbours(block, width, turn), f"join-{turn}-pairs")
-        more = materialize(verified(tried, f"join-{turn}"), f"join-{turn}-links")
-        pairs = tried if links is None else pairs.unionByName(tried)
-        links = more if links is None else links.unionByName(more)
+        hub = Window.partitionBy("s", "part", "band").orderBy("pos", F.xxhash64("grp", F.lit(seed)))
+        own = ["grp", "n", "pos", *(["lo", "hi"] if clustered else [])]
+        each = block.select("s", *own, part.alias("part"), band.alias("band"))
+        met = each.select(*own, *[take(c).over(w).alias(f"{c}_{k}") for k, (w, take) in enumerate(((mixed, F.lag), (hub, F.first))) for c in own])
+        near = met.select(*own, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{c}_{k}").alias(f"{c}2") for c in own]) for k in (0, 1)])).alias("x"))
+        near = near.select(*own, "x.*").where(F.col("grp2").isNotNull() & (F.col("grp") != F.col("grp2")) & _bounds(p, "n", "pos", "n2", "pos2"))
+        if clustered:
+            near = near.where((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2")))
+        near = near.withColumn("turn", F.row_number().over(Window.partitionBy("grp", "kind").orderBy("pos"))).where(F.col("turn") <= turns)
+        found = near.select(F.least("grp", "grp2").alias("x"), F.greatest("grp", "grp2").alias("y")).distinct()
+        return found.join(brief(f1), F.col("x") == F.col("g1")).join(brief(f2), F.col("y") == F.col("g2")).select("a", "b")
+
+    def clusters_of(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Classes with their clusters so far, and each group's lowest and highest cluster."""
+        clusters = materialize(components(links), f"{name}-clusters")
+        named = classes.join(brief(clusters), classes["class"] == clusters["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("cluster"))
+        return named, materialize(named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")), f"{name}-spread")
+
+    # Before the first links every group is a cluster of its own.
+    block = small.unionByName(large)
+    pairs = materialize(neighbours(block, p.chain[0], 0, False).unionByName(inside).distinct(), "join-0-pairs")
+    links = materialize(verified(pairs, "join-0"), "join-0-links")
+    for turn, width in enumerate(p.chain[1:], 1):
+        _, spread = clusters_of(links, f"join-{turn}")
+        tried = materialize(neighbours(block.join(brief(spread), "grp"), width, turn, True), f"join-{turn}-pairs")
+        pairs = pairs.unionByName(tried)
+        links = links.unionByName(materialize(verified(tried, f"join-{turn}"), f"join-{turn}-links"))
 
     # What is left: pairs of different clusters in a block.
-    named, spread, block = opened(links, "join-last")
+    named, spread = clusters_of(links, "join-last")
+    crossing = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
+    bounds = (F.col("x.s") == F.col("y.s")) & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos")
+    whole = Window.partitionBy("s")
+    few = small.drop("members").join(brief(spread), "grp").select("*", F.min("lo").over(whole).alias("l"), F.max("hi").over(whole).alias("h")).where("l < h").drop("l", "h")
+    met = few.alias("x").join(few.alias("y"), bounds).select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2"))
     # Of a large block, each row meets one part of the others at a time.
+    many = materialize(large.join(brief(spread), "grp").join(brief(sole, 160), "grp"), "join-last-large")
+    several = materialize(many.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s"), "join-last-several")
+    many = many.join(brief(several), "s", "left_semi")
     parts = F.ceil(F.col("members") / p.block).cast("int")
-    x = block.withColumn("part", F.pmod(F.hash("grp"), parts)).alias("x")
-    y = block.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
-    crossing = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part"))
-    met = x.join(y, same & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos") & _alike(p, "x", "y"))
-    met = met.select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")).distinct()
+    x = many.withColumn("part", F.pmod(F.hash("grp"), parts)).alias("x")
+    y = many.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    met = met.unionByName(x.join(y, bounds & (F.col("x.part") == F.col("y.part")) & _alike(p, "x", "y")).select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2"))).distinct()
     # Members of one group that its chain left apart are a group pair too.
     met = met.unionByName(spread.where("lo < hi").select(F.col("grp").alias("g1"), F.col("grp").alias("g2")))
     m1, m2 = (named.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c), F.col("cluster").alias(f"c{i}")) for i, c in ((1, "a"), (2, "b")))
