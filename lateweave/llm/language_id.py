@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", params:
     # Out of 10,000 hash classes of texts, as many as the bound allows.
     share = spark.createDataFrame([(x, max(1, min(10_000, 10_000 * p.train_docs // sizes[x]))) for x in languages], "lang string, share int")
     chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(10_000)) < F.col("share")).select("text", "lang")
-    counted = chosen.mapInArrow(_count(p, buckets, languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(lean(_count(p, buckets, languages)), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     weights = np.full((buckets, len(languages)), p.alpha)
     weights[found["bucket"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy()
@@ -197,4 +197,4 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(_score(shared, len(keep)), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return rows.mapInArrow(lean(_score(shared, len(keep))), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import brief, materialize, small_batches, task_rows
+from .common import brief, lean, materialize, small_batches, task_rows
 from .word_hash import mix, powers
 
 MIN_WORDS = 50
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
     lines = f"row long, key {kind}, th long, h array<long>, w array<int>, at array<int>, p array<int>, f array<long>, first array<int>, last array<int>"
-    lines = materialize(rows.mapInArrow(_scan(min_words), lines), "lines-selected")
+    lines = materialize(rows.mapInArrow(lean(_scan(min_words)), lines), "lines-selected")
 
     # Positions by fingerprint. A null key has no order among documents.
     places = lines.where(F.col("key").isNotNull()).select("row", "key", F.explode(F.arrays_zip("p", "f")).alias("x")).select("row", "key", "x.*")
@@ -176,12 +176,12 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     joined = materialize(places.join(brief(shared), "f", "left_semi").groupBy("row").agg(F.collect_list("p").alias("x")), "lines-places")
 
     again = lines.join(brief(joined, arrays=("x",)), "row").select("key", "th", "h", "w", "at", "x")
-    across = materialize(again.mapInArrow(_extended(min_words), f"h long, key {kind}, th long, first int, last int"), "lines-extended")
+    across = materialize(again.mapInArrow(lean(_extended(min_words)), f"h long, key {kind}, th long, first int, last int"), "lines-extended")
     origin = materialize(across.groupBy("h").agg(F.min("key").alias("o"), F.max("key").alias("z")).where("o < z").select("h", "o"), "lines-origins")
     later = across.join(brief(origin), "h").where(F.col("key") > F.col("o")).select("key", "th", "first", "last")
     inside = lines.where(F.size("first") > 0).select("key", "th", F.explode(F.arrays_zip("first", "last")).alias("x")).select("key", "th", "x.*")
     spans = later.unionByName(inside).groupBy("key", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return spans.mapInArrow(_kept, f"key {kind}, th long, starts array<int>, sizes array<int>")
+    return spans.mapInArrow(lean(_kept), f"key {kind}, th long, starts array<int>, sizes array<int>")
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

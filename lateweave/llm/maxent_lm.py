@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, small_batches, task_rows
+from .common import lean, materialize, most_frequent, small_batches, task_rows
 from .word_hash import hash_bytes, mix
 
 
@@ -141,7 +141,7 @@ class LmModel:
 
 def count_words(train: DataFrame, p: LmParams, text: str = "text") -> DataFrame:
     """(h, c) of every distinct training token."""
-    rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted(p), "h long, c long")
+    rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(_counted(p)), "h long, c long")
     return materialize(rows.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 
 
@@ -361,7 +361,7 @@ _FAN = 64
 def _gathered(rows: DataFrame, count, shape: tuple[int, int], dtype: type) -> np.ndarray:
     """The sum over all tasks of the tables that ``count`` makes; zeros if there are none."""
     schema = "block int, part int, w binary"
-    done = rows.mapInArrow(count, schema)
+    done = rows.mapInArrow(lean(count), schema)
     # A tree: no task adds up more than _FAN blocks.
     width = done.rdd.getNumPartitions()
     while True:
@@ -461,7 +461,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: L
     counts = count_words(learn, params)
     m = train(learn, counts, params)
     shared = docs.sparkSession.sparkContext.broadcast(m)
-    done = rows.mapInArrow(_scored(shared), f"row long, key {kind}, held_out boolean, n_tokens long, held long, base double, model double, h array<long>, k array<long>")
+    done = rows.mapInArrow(lean(_scored(shared)), f"row long, key {kind}, held_out boolean, n_tokens long, held long, base double, model double, h array<long>, k array<long>")
     done = materialize(done, "lm-scored")
     rest = done.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "k")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"))
     rest = rest.join(counts.select("h", "c"), "h", "left").groupBy("row").agg(

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import brief, materialize, most_frequent, small_batches
+from .common import brief, lean, materialize, most_frequent, small_batches
 from .connected import components
 from .word_hash import BASE, mix, word_hashes
 
@@ -229,14 +229,14 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # Frequent shingles among one text in p.sample (copies once): a bounded table, and only a matter of speed.
     some = rows.where(F.pmod("th", F.lit(p.sample)) == 0).select("text").dropDuplicates()
-    often = some.mapInArrow(_sampled(p), "s long").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= p.frequent)
+    often = some.mapInArrow(lean(_sampled(p)), "s long").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= p.frequent)
     often = most_frequent(materialize(often, "join-often"), p.frequent_rows).toArrow().sort_by("s")
     found, counts = often["s"].to_numpy().view(np.uint64), often["c"].to_numpy()
     ordered = np.argsort(found)
     frequent = spark.sparkContext.broadcast((found[ordered], counts[ordered]))
 
     schema = f"key {kind}, th long, n long, class long, grp long, prefix array<long>, rare int, sketch binary, parity array<long>"
-    known = materialize(rows.mapInArrow(_prefixes(p, frequent), schema), "join-prefixes")
+    known = materialize(rows.mapInArrow(lean(_prefixes(p, frequent)), schema), "join-prefixes")
 
     # Blocks: groups that share a prefix shingle. Those of rare shingles are small; a group's rows from several tasks stand side by side there.
     heads = known.where(F.col("prefix").isNotNull())
@@ -263,15 +263,15 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def verified(candidates: DataFrame, name: str) -> DataFrame:
         """The linked pairs (a, b) among candidates: sketches first, then the whole sets of what they leave."""
         left, right = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
-        near = left.join(brief(candidates, 32), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(p), "a long, b long")
+        near = left.join(brief(candidates, 32), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(lean(_plausible(p)), "a long, b long")
         near = materialize(near, f"{name}-near")
         wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
         one = materialize(classes.join(brief(materialize(wanted, f"{name}-classes"), 32), "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
         # A key may name several rows; a text's class tells them apart, and of equal rows one is enough.
         texts = rows.join(brief(one), F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
-        sets = materialize(texts.mapInArrow(_checked_sets(p), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
+        sets = materialize(texts.mapInArrow(lean(_checked_sets(p)), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
         left, right = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        return left.join(brief(near, 32), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(p), "a long, b long")
+        return left.join(brief(near, 32), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(_verify(p)), "a long, b long")
 
     f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, task_rows
+from .common import lean, materialize, small_batches, task_rows
 from .encoders import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * keep_ids
-    pieces = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_pieces(capacity, end_id, tokenizer, keep_ids), schema)
+    pieces = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_pieces(capacity, end_id, tokenizer, keep_ids)), schema)
     pieces = materialize(pieces, "packing-pieces")
     buckets = max(1, -(-pieces.count() // bucket))
     # Row numbers are written with the pieces; their hash deals them evenly whatever the keys are.

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import lean, materialize, scratch, small_batches
 from .encoders import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,7 +75,7 @@ def write_flat(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str =
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_writer(folder, end_id, dtype, tokenizer), f"path string, number long, key {kind}"), "token-manifest")
+    return materialize(rows.mapInArrow(lean(_writer(folder, end_id, dtype, tokenizer)), f"path string, number long, key {kind}"), "token-manifest")
 
 
 def flat_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ def scan(files: DataFrame, *, end_id: int = END_ID, dtype: str = DTYPE, block_by
     at = at.select("path", "block", (F.col("block") * step).alias("start"), F.least(F.lit(step).cast("long"), F.col("length") - F.col("block") * step).alias("size"))
     spark = files.sparkSession
     at = at.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = materialize(at.mapInArrow(_blocks(end_id, dtype), "path string, block long, stop long, ends array<long>"), "token-blocks")
+    found = materialize(at.mapInArrow(lean(_blocks(end_id, dtype)), "path string, block long, stop long, ends array<long>"), "token-blocks")
 
     narrow = found.select("path", "block", "stop", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
