@@ -1,4 +1,8 @@
-"""Configuration of the retrieval engine: one frozen record, stored as JSON."""
+"""Configuration of the retrieval engine: one frozen record, stored as JSON.
+
+checkpoint is the hash encoder or a local folder with a tokenizer and a model.
+Settings about devices are kept for the record's sake; Spark places the work.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ import json
 from dataclasses import dataclass
 
 
+#: The checkpoint that needs no files.
+HASH_ENCODER = "hash-encoder"
+
+
 @dataclass(frozen=True)
 class RetrievalConfig:
     # Run
@@ -19,7 +27,7 @@ class RetrievalConfig:
     query_token: str = "[Q]"
     doc_token: str = "[D]"
     # Sources
-    checkpoint: str = "hash-encoder"
+    checkpoint: str = HASH_ENCODER
     collection: str = ""
     # Documents and queries
     dim: int = 128
@@ -38,6 +46,10 @@ class RetrievalConfig:
     nprobe: int = 2
     ncandidates: int = 8192
 
+    def __post_init__(self) -> None:
+        if self.rank:
+            raise ValueError("rank must be 0: Spark deals the work out itself")
+
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), indent=1, sort_keys=True)
 

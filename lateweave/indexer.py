@@ -4,31 +4,38 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import RetrievalConfig
 from .operators import codec as coding
 from .operators import encode, kmeans, planning, ranking
-from .sources import passages as readers
+from .operators.tokenize import Tokens
 from .shared import remove
-from .sources import store
+from .sources import checkpoint, store
+from .sources import passages as readers
 
 
 class Indexer:
     """index() encodes, clusters, compresses and stores a collection.
 
     collection: (pid, text) rows with pids from 1 without gaps, a path of text
-    lines, or a list of strings.
+    lines, or a list of strings. Tokenizer and encoder are the configured
+    checkpoint's unless others are given.
     """
 
-    def __init__(self, spark: SparkSession, config: RetrievalConfig, collection: DataFrame | list[str] | None = None, encoder: encode.Encoder | None = None, seed: int = 0) -> None:
+    def __init__(
+        self, spark: SparkSession, config: RetrievalConfig, collection: DataFrame | list[str] | None = None, encoder: encode.Encoder | None = None, seed: int = 0, tokens: Tokens | None = None
+    ) -> None:
         self.spark, self.config, self.seed = spark, config, seed
-        self.encoder = encoder or encode.HashEncoder(config.dim)
+        self.tokens, self.encoder = (tokens, encoder) if encoder else checkpoint.load(config)
         if collection is None:
             collection = readers.lines(spark, config.collection)
         self.passages = readers.strings(spark, collection) if isinstance(collection, list) else collection
 
+    def _encoded(self, passages: DataFrame) -> DataFrame:
+        return encode.encode_passages(passages, self.encoder, self.config, self.tokens)
+
     def index(self) -> bool | None:
         """Whether the finished index is complete; None, and nothing done, if the path exists already."""
         spark, config, path = self.spark, self.config, self.config.index_path
@@ -36,8 +43,10 @@ class Indexer:
             return None
         passages, count = self.passages, self.passages.count()
         pids = planning.sample_pids_by_hash(passages, planning.sample_size(count), self.seed)
-        # Numbering the sample: (pid, pos) is its stable identity.
-        sample = encode.encode_passages(passages.join(pids, "pid", "left_semi"), self.encoder, config).withColumn("eid", F.concat_ws("/", "pid", "pos")).persist()
+        # Numbering the sample: (pid, pos) is its stable identity. It is a table of its own, so that a lost executor costs no new sample.
+        drawn = f"{path}/_sample"
+        self._encoded(passages.join(pids, "pid", "left_semi")).withColumn("eid", F.concat_ws("/", "pid", "pos")).write.mode("overwrite").parquet(drawn)
+        sample = spark.read.parquet(drawn)
         vectors, sampled = sample.count(), pids.count()
         train, heldout = planning.heldout_split(sample, planning.heldout_size(vectors), "eid", self.seed)
         average = vectors / sampled if sampled else 0.0
@@ -49,33 +58,31 @@ class Indexer:
         centroids, _, _ = kmeans.fit(train, first, max_iters=config.kmeans_niters)
         codec = coding.fit(coding.residuals(coding.codes(heldout, centroids), centroids), config.nbits)
         store.save_codec(spark, path, centroids, codec)
-        sample.unpersist()
+        remove(spark, drawn)
 
-        chunk = (F.floor((F.col("pid") - 1) / plan["chunksize"]) + 1).cast("int")
-        coded = coding.compress(encode.encode_passages(passages, self.encoder, config), centroids, codec).withColumn("chunk_id", chunk)
         staged = f"{path}/_staged"
-        coded.write.mode("overwrite").parquet(staged)
-        coded = spark.read.parquet(staged)
-        # The planned average only sizes the index; lengths and offsets are the real ones.
-        lengths = encode.doclens(passages, coded)
-        lengths.sortWithinPartitions("pid").write.mode("overwrite").parquet(f"{path}/doclens")
-        chunks = spark.read.parquet(f"{path}/doclens").groupBy(chunk.alias("chunk_id")).agg((F.min("pid") - 1).alias("passage_offset"), F.count(F.lit(1)).alias("num_passages"), F.sum("doclen").alias("num_embeddings"))
-        store.with_offsets(chunks).coalesce(1).write.mode("overwrite").parquet(f"{path}/chunks")
-        eids = ranking.emb2pid(spark.read.parquet(f"{path}/doclens"))
-        place = coded.withColumn("_n", F.row_number().over(_by_passage("pos")))
-        # Embedding ids follow (pid, pos): the pid's block of ids, entered by position.
-        ids = eids.withColumn("_n", F.row_number().over(_by_passage("eid")))
-        done = place.join(ids, ["pid", "_n"]).select("eid", "pid", "code", "residual", "chunk_id")
-        store.save_chunks(done, path)
-        stored = store.load_compressed(spark, path)
-        total = stored.count()
-        stored.select("code", "eid", "pid").repartitionByRange("code", "eid").sortWithinPartitions("code", "eid").write.mode("overwrite").parquet(f"{path}/ivf")
-        store.save_record(spark, path, "plan", {**plan, "num_chunks": math.ceil(count / plan["chunksize"]), "num_embeddings": total, "avg_doclen": total / count if count else 0.0})
+        coding.compress(self._encoded(passages), *store.load_codec(spark, path)).write.mode("overwrite").parquet(staged)
+        write(spark, path, spark.read.parquet(staged), passages, {**plan, "num_documents": count})
         remove(spark, staged)
         return store.is_complete(spark, path)
 
 
-def _by_passage(order: str):
-    from pyspark.sql import Window
+def write(spark: SparkSession, path: str, coded: DataFrame, passages: DataFrame, plan: dict[str, float | int]) -> None:
+    """Lengths, chunks, compressed rows and postings of coded embeddings (pid, pos, code, residual), and the finished plan.
 
-    return Window.partitionBy("pid").orderBy(order)
+    The planned average only sized the index; lengths and offsets are the real ones.
+    """
+    chunk = store.chunk_of(F.col("pid"), int(plan["chunksize"]))
+    encode.doclens(passages, coded).sortWithinPartitions("pid").write.mode("overwrite").parquet(f"{path}/doclens")
+    lengths = spark.read.parquet(f"{path}/doclens")
+    chunks = lengths.groupBy(chunk.alias("chunk_id")).agg((F.min("pid") - 1).alias("passage_offset"), F.count(F.lit(1)).alias("num_passages"), F.sum("doclen").alias("num_embeddings"))
+    store.save_chunk_table(planning.offsets(chunks), path)
+    # Embedding ids follow (pid, pos): the pid's block of ids, entered by position.
+    place = coded.withColumn("_n", F.row_number().over(Window.partitionBy("pid").orderBy("pos")))
+    ids = ranking.emb2pid(lengths).withColumn("_n", F.row_number().over(Window.partitionBy("pid").orderBy("eid")))
+    store.save_chunks(place.join(ids, ["pid", "_n"]).select("eid", "pid", "code", "residual", chunk.alias("chunk_id")), path)
+    stored = store.load_compressed(spark, path)
+    total = stored.count()
+    store.save_postings(stored, path, int(plan["num_partitions"]), total)
+    count = int(plan["num_documents"])
+    store.save_record(spark, path, "plan", {**plan, "num_chunks": math.ceil(count / plan["chunksize"]), "num_embeddings": total, "avg_doclen": total / count if count else 0.0})

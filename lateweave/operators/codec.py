@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import bits, vec
-from .kmeans import assign, centroid_matrix, matrix, nearest_dot
+from .kmeans import assign, centroid_matrix, list_array, matrix, nearest_dot
 
 #: Rows coded or decoded at a time.
 ROWS = 10_000
@@ -64,11 +66,12 @@ def fit(residual_rows: DataFrame, nbits: int, exact: bool = True) -> Codec:
     bounded. Otherwise percentile_approx.
     """
     at, mid = probabilities(nbits)
-    how = (lambda p: F.percentile("x", p)) if exact else (lambda p: F.percentile_approx("x", p, 100_000))
-    row = entries(residual_rows).agg(how(at).alias("c"), how(mid).alias("w"), F.avg(F.abs("x")).alias("a")).first()
-    if row["c"] is None:
+    # All quantiles from one buffer.
+    found = F.percentile("x", at + mid) if exact else F.percentile_approx("x", at + mid, 100_000)
+    row = entries(residual_rows).agg(found.alias("q"), F.avg(F.abs("x")).alias("a")).first()
+    if row["q"] is None:
         raise ValueError("no residuals to fit a codec on")
-    return Codec(tuple(row["c"]), tuple(row["w"]), row["a"])
+    return Codec(tuple(row["q"][: len(at)]), tuple(row["q"][len(at) :]), row["a"])
 
 
 def bucket_index(x: Column, cutoffs: Column) -> Column:
@@ -81,12 +84,26 @@ def bucket_indices(values: Column, cutoffs: Sequence[float]) -> Column:
     return F.transform(values, lambda x: bucket_index(x, cuts))
 
 
-def binarize(residual: Column, codec: Codec, dim: int) -> Column:
-    """Packed bytes of a residual."""
+def binarize_expression(residual: Column, codec: Codec, dim: int) -> Column:
+    """Packed bytes of a residual as one SQL expression: its definition, step by step, for tests and small tables."""
     check(dim, codec.nbits, codec.cutoffs)
     return bits.pack(bits.bit_planes(bucket_indices(residual, codec.cutoffs), codec.nbits))
 
 
+def binarize(residual: Column, codec: Codec, dim: int) -> Column:
+    """Packed bytes of a residual, whole Arrow batches at a time. A null stays null."""
+    check(dim, codec.nbits, codec.cutoffs)
+
+    @F.pandas_udf(BinaryType())
+    def packed(rows: pd.Series) -> pd.Series:
+        there = rows.notna()
+        values = np.stack(rows[there].tolist()) if there.any() else np.zeros((0, dim))
+        data = pack_matrix(np.searchsorted(np.asarray(codec.cutoffs), values, side="left"), codec.nbits)
+        return pd.Series([r.tobytes() for r in data], index=rows.index[there], dtype=object).reindex(rows.index).where(there, None)
+
+    return packed(residual)
+
+
 def decompress_residuals(data: Column, codec: Codec) -> Column:
     """Residual values (bucket weights) from packed bytes."""
     weights = F.array(*[F.lit(float(w)) for w in codec.weights])
@@ -156,8 +173,7 @@ def _decompressed(model, code: int, residual: int, keep: list[int]):
             for i in range(0, len(batch), ROWS):
                 part = batch.slice(i, ROWS)
                 v = decode_rows(part.column(code).to_numpy(), byte_matrix(part.column(residual)), cids, centroids, codec)
-                lists = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * centroids.shape[1], pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists], [*(part.schema.names[k] for k in keep), "embedding"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), list_array(v)], [*(part.schema.names[k] for k in keep), "embedding"])
 
     return run
 

@@ -1,14 +1,16 @@
 """Lloyd's k-means over embedding tables.
 
 Assigning by squared L2 distance is a matrix product in numpy over Arrow
-batches; sums per cluster are reduced inside each task before one small
-shuffle. Centroids are k x dim numbers, bounded by the index plan: they are the
-only thing that is collected and broadcast.
+batches, block by block of points and of centroids, so that a product stays
+within a fixed number of bytes. Sums per cluster are reduced inside each task
+before one small shuffle. Centroids are k x dim numbers, and k is bounded by
+the index plan (planning.MOST_CLUSTERS): they are the only thing that is
+collected and broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 
-#: Points to a matrix product.
-POINTS = 1000
+#: Points to a product, and numbers in one.
+POINTS, NUMBERS = 1000, 1 << 22
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -27,6 +29,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def list_array(rows: np.ndarray) -> pa.ListArray:
+    """A list column of a matrix's rows."""
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(cids ascending, vectors) of a centroid table (cid, vector)."""
     found = centroids.select("cid", vec.doubles("vector").alias("vector")).toArrow().sort_by("cid").combine_chunks()
@@ -35,19 +42,62 @@ def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["cid"].to_numpy(), matrix(found["vector"].chunk(0))
 
 
-def nearest_l2(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Row of the nearest centroid by squared L2 distance; of equals the first."""
+def _blocks(centroids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    step = max(1, NUMBERS // POINTS)
+    return ((i, centroids[i : i + step]) for i in range(0, len(centroids), step))
+
+
+def _best(points: np.ndarray, centroids: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Row of the centroid with the largest score for each point; of equals the first."""
     if points.shape[1] != centroids.shape[1]:
         raise ValueError("points and centroids differ in dimension")
-    squares = (centroids * centroids).sum(1)
-    return np.concatenate([np.argmin(squares - 2 * (points[i : i + POINTS] @ centroids.T), 1) for i in range(0, len(points), POINTS)] or [np.zeros(0, np.int64)])
+    out = np.zeros(len(points), np.int64)
+    for i in range(0, len(points), POINTS):
+        some = points[i : i + POINTS]
+        most = np.full(len(some), -np.inf)
+        for first, part in _blocks(centroids):
+            found = score(some, part)
+            at = found.argmax(1)
+            value = found[np.arange(len(some)), at]
+            more = value > most
+            out[i : i + POINTS][more] = first + at[more]
+            most = np.maximum(most, value)
+    return out
+
+
+def nearest_l2(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Row of the nearest centroid by squared L2 distance; of equals the first."""
+    return _best(points, centroids, lambda x, c: 2 * (x @ c.T) - (c * c).sum(1))
 
 
 def nearest_dot(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Row of the centroid with the largest inner product; of equals the first."""
-    if points.shape[1] != centroids.shape[1]:
-        raise ValueError("points and centroids differ in dimension")
-    return np.concatenate([np.argmax(points[i : i + POINTS] @ centroids.T, 1) for i in range(0, len(points), POINTS)] or [np.zeros(0, np.int64)])
+    return _best(points, centroids, lambda x, c: x @ c.T)
+
+
+def best_dot(points: np.ndarray, centroids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and inner products of the k best centroids for each point, best first; of equals the first. k is at most their number."""
+    rows, scores = np.zeros((len(points), k), np.int64), np.zeros((len(points), k))
+    for i in range(0, len(points), POINTS):
+        some = points[i : i + POINTS]
+        at, value = np.zeros((len(some), 0), np.int64), np.zeros((len(some), 0))
+        for first, part in _blocks(centroids):
+            found = some @ part.T
+            if k < found.shape[1]:
+                # All that reach the k-th best value, ties included, in order; then the first k of each point.
+                least = np.partition(found, found.shape[1] - k, 1)[:, found.shape[1] - k]
+                point, column = np.nonzero(found >= least[:, None])
+                order = np.lexsort((column, -found[point, column], point))
+                start = np.searchsorted(point[order], np.arange(len(some)))
+                top = column[order][start[:, None] + np.arange(k)]
+            else:
+                top = np.argsort(-found, axis=1, kind="stable")
+            at = np.concatenate([at, first + top], 1)
+            value = np.concatenate([value, np.take_along_axis(found, top, 1)], 1)
+            keep = np.argsort(-value, axis=1, kind="stable")[:, :k]
+            at, value = np.take_along_axis(at, keep, 1), np.take_along_axis(value, keep, 1)
+        rows[i : i + POINTS], scores[i : i + POINTS] = at, value
+    return rows, scores
 
 
 def _assigned(model, how, position: int):
@@ -69,9 +119,30 @@ def assign(points: DataFrame, centroids: DataFrame, vector: str = "embedding", m
     return points.mapInArrow(_assigned(model, how, points.columns.index(vector)), f"{kinds}, cid int")
 
 
+def _measured(model, keep: list[int], position: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, centroids = model.value
+        # So many points that the differences of all of them from all centroids stay in bounds.
+        step = max(1, NUMBERS // centroids.size)
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                part = batch.slice(i, step)
+                x = matrix(part.column(position))
+                # The difference first, so that equal vectors are at exactly 0.
+                d = ((x[:, None] - centroids[None]) ** 2).sum(2)
+                rows = pa.array(np.repeat(np.arange(len(x)), len(cids)))
+                head = [part.column(k).take(rows) for k in keep]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.tile(cids.astype(np.int32), len(x))), pa.array(d.ravel())], [*(part.schema.names[k] for k in keep), "cid", "distance"])
+
+    return run
+
+
 def distances(points: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Every point's squared distance to every centroid, (point columns, cid, distance); meant for small tables."""
-    return points.join(F.broadcast(centroids)).withColumn("distance", vec.l2sq(vector, "vector")).drop("vector")
+    """Every point's squared distance to every centroid: (other columns of points, cid, distance), a map-only pass."""
+    model = points.sparkSession.sparkContext.broadcast(centroid_matrix(centroids))
+    keep = [i for i, c in enumerate(points.columns) if c != vector]
+    kinds = [f"`{points.columns[i]}` {points.dtypes[i][1]}" for i in keep]
+    return points.mapInArrow(_measured(model, keep, points.columns.index(vector)), ", ".join([*kinds, "cid int", "distance double"]))
 
 
 def _partial(model):
@@ -87,20 +158,24 @@ def _partial(model):
                 sums[rows[order][first]] += np.add.reduceat(x[order], first, axis=0)
                 counts += np.bincount(rows, minlength=len(counts))
         used = np.flatnonzero(counts)
-        lists = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * centroids.shape[1], pa.array(sums[used].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(cids[used].astype(np.int32)), pa.array(counts[used]), lists], ["cid", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(cids[used].astype(np.int32)), pa.array(counts[used]), list_array(sums[used])], ["cid", "n", "total"])
 
     return run
 
 
+def _means(points: DataFrame, cids: np.ndarray, now: np.ndarray, vector: str) -> DataFrame:
+    """(cid, m) of the clusters that have points."""
+    shared = points.sparkSession.sparkContext.broadcast((cids, now))
+    parts = points.select(vector).mapInArrow(_partial(shared), "cid int, n long, total array<double>")
+    whole = parts.groupBy("cid").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", i)).alias(f"_{i}") for i in range(now.shape[1])])
+    return whole.select("cid", F.array(*[F.col(f"_{i}") / F.col("n") for i in range(now.shape[1])]).alias("m"))
+
+
 def step(points: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
     """One iteration: (cid, vector) with each cluster's mean; a cluster without points becomes the zero vector."""
-    spark, (cids, current) = points.sparkSession, centroid_matrix(centroids)
-    dim = current.shape[1]
-    parts = points.select(vector).mapInArrow(_partial(spark.sparkContext.broadcast((cids, current))), "cid int, n long, total array<double>")
-    whole = parts.groupBy("cid").agg(F.sum("n").alias("n"), *[F.sum(F.get("total", i)).alias(f"_{i}") for i in range(dim)])
-    means = whole.select("cid", F.array(*[F.col(f"_{i}") / F.col("n") for i in range(dim)]).alias("m"))
-    return centroids.select("cid").join(means, "cid", "left").select("cid", F.coalesce("m", vec.zeros(dim)).alias("vector"))
+    cids, now = centroid_matrix(centroids)
+    means = _means(points, cids, now, vector)
+    return centroids.select("cid").join(means, "cid", "left").select("cid", F.coalesce("m", vec.zeros(now.shape[1])).alias("vector"))
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -114,15 +189,19 @@ def fit(points: DataFrame, centroids: DataFrame, *, vector: str = "embedding", m
 
     When the largest change is below tol, the centroids that the last
     assignment was made with are kept; when the iterations run out, the last
-    means are. Each iteration's centroids are a local table, so that lineage
-    doesn't grow.
+    means are. Centroids go from round to round as one matrix on the driver.
     """
     spark = points.sparkSession
-    schema = "cid int, vector array<double>"
     cids, now = centroid_matrix(centroids)
-    made = lambda m: spark.createDataFrame([(int(c), [float(x) for x in v]) for c, v in zip(cids, m)], schema)
+
+    def made(rows: np.ndarray) -> DataFrame:
+        return spark.createDataFrame(pa.table({"cid": pa.array(cids.astype(np.int32)), "vector": list_array(rows)}))
+
     for turn in range(1, max_iters + 1):
-        _, new = centroid_matrix(step(points, made(now), vector))
+        found = _means(points, cids, now, vector).toArrow().combine_chunks()
+        new = np.zeros_like(now)
+        if found.num_rows:
+            new[np.searchsorted(cids, found["cid"].to_numpy())] = matrix(found["m"].chunk(0))
         if np.abs(new - now).max() < tol:
             return made(now), turn, True
         now = new

@@ -45,6 +45,10 @@ def default_chunksize(passages: int, nranks: int = 1) -> int:
     return min(25_000, 1 + passages // nranks)
 
 
+#: Clusters of an index at most: their centroids are broadcast, 256 MB of them at 128 dimensions. A collection reaches this at 268 million vectors.
+MOST_CLUSTERS = 1 << 18
+
+
 def plan(passages: int, average_doclen: float, train_vectors: int, chunksize: int | None = None, nranks: int = 1) -> dict[str, float | int]:
     """Chunks, estimated vectors and number of clusters of an index."""
     chunksize = default_chunksize(passages, nranks) if chunksize is None else chunksize
@@ -56,7 +60,7 @@ def plan(passages: int, average_doclen: float, train_vectors: int, chunksize: in
         "num_documents": passages,
         "avg_doclen_est": average_doclen,
         "num_embeddings_est": estimate,
-        "num_partitions": max(1, min(train_vectors, clusters)),
+        "num_partitions": max(1, min(train_vectors, clusters, MOST_CLUSTERS)),
     }
 
 

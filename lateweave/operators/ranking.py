@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codec import Codec, byte_matrix, decode_rows
-from .kmeans import centroid_matrix, matrix
+from .kmeans import best_dot, centroid_matrix, list_array, matrix
 
 
 def build_ivf(coded: DataFrame, clusters: int) -> DataFrame:
@@ -44,11 +44,10 @@ def _probed(model, position: int, keep: list[int], nprobe: int):
         for batch in batches:
             if not len(batch):
                 continue
-            scores = matrix(batch.column(position)) @ centroids.T
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            top, scores = best_dot(matrix(batch.column(position)), centroids, k)
             rows = pa.array(np.repeat(np.arange(len(batch)), k))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(rows) for i in keep), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(batch))), pa.array(cids[top].ravel().astype(np.int32)), pa.array(np.take_along_axis(scores, top, 1).ravel())],
+                [*(batch.column(i).take(rows) for i in keep), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(batch))), pa.array(cids[top].ravel().astype(np.int32)), pa.array(scores.ravel())],
                 [*(batch.schema.names[i] for i in keep), "rank", "cid", "score"],
             )
 
@@ -98,8 +97,7 @@ def _scored(model):
                 at = at[np.argsort(pid[at], kind="stable")]
                 first = np.flatnonzero(np.diff(pid[at], prepend=pid[at][:1] - 1))
                 best = np.maximum.reduceat(x[at] @ queries[q].T, first, axis=0)
-                lists = pa.ListArray.from_arrays(np.arange(len(first) + 1, dtype=np.int32) * best.shape[1], pa.array(best.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), q)), pa.array(pid[at][first]), lists], ["qid", "pid", "best"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), q)), pa.array(pid[at][first]), list_array(best)], ["qid", "pid", "best"])
 
     return run
 

@@ -1,11 +1,18 @@
-"""Tokenisation: texts to token ids with special tokens, markers, truncation and masks (built-in functions only)."""
+"""Tokenisation: texts to token ids with special tokens, markers, truncation and masks.
+
+The default tokenizer is made of built-in functions only; any object with its
+three methods takes its place (see sources.checkpoint for one that reads a
+vocabulary).
+"""
 
 from __future__ import annotations
 
+import hashlib
 import string
-from collections.abc import Sequence
+from collections.abc import Iterable
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Ids of the special tokens.
@@ -27,8 +34,41 @@ def token_id(token: Column) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("long") % VOCABULARY + FIRST_ID).cast("int")
 
 
-def token_ids(text: Column) -> Column:
-    return F.transform(token_strings(text), token_id)
+def token_ids(text: Column, most: int | None = None) -> Column:
+    """Ids of a text's tokens; with ``most``, of its first tokens alone: the others are not hashed."""
+    found = token_strings(text)
+    return F.transform(found if most is None else F.slice(found, 1, max(0, most)), token_id)
+
+
+class Tokens(Protocol):
+    """What turns texts into ids."""
+
+    def ids(self, text: Column, most: int) -> Column:
+        """Ids (ARRAY<INT>) of the first ``most`` tokens, without special ones; of a null text none."""
+        ...
+
+    def special(self, token: str) -> int:
+        """Id of a special token; an error if there is none of that name."""
+        ...
+
+    def of(self, signs: Iterable[str]) -> list[int]:
+        """Ids of the tokens among these that the vocabulary has."""
+        ...
+
+
+class HashTokens:
+    """Ids from the md5 of token strings, beside fixed ids of special tokens: no vocabulary is needed."""
+
+    def ids(self, text: Column, most: int) -> Column:
+        return token_ids(text, most)
+
+    def special(self, token: str) -> int:
+        if token not in SPECIAL:
+            raise ValueError(f"no special token {token}; there are {', '.join(SPECIAL)}")
+        return SPECIAL[token]
+
+    def of(self, signs: Iterable[str]) -> list[int]:
+        return [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) % VOCABULARY + FIRST_ID for x in signs]
 
 
 def with_ends(ids: Column) -> Column:
@@ -49,20 +89,23 @@ def fit_length(ids: Column, length: int, pad: int = PAD) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length)
 
 
-def document_ids(text: Column, doc_maxlen: int, marker: int = DOC_MARK) -> Column:
-    """Ids of a document: cut to doc_maxlen - 1 (a long text loses its end token), then marked."""
-    return add_marker(truncate(with_ends(token_ids(text)), doc_maxlen - 1), marker)
+def document_ids(text: Column, doc_maxlen: int, marker: str = "[unused1]", tokens: Tokens | None = None) -> Column:
+    """Ids of a document with ends and marker, cut to doc_maxlen: a long text loses its end token."""
+    t = tokens or HashTokens()
+    head = F.array(F.lit(t.special("[CLS]")), F.lit(t.special(marker)))
+    return truncate(F.concat(head, t.ids(text, doc_maxlen - 2), F.array(F.lit(t.special("[SEP]")))), doc_maxlen)
 
 
-def query_ids(text: Column, query_maxlen: int, marker: int = QUERY_MARK) -> Column:
-    """Exactly query_maxlen ids: padded, marked, pads turned into masks."""
-    ids = add_marker(fit_length(with_ends(token_ids(text)), query_maxlen - 1), marker)
-    return F.transform(ids, lambda x: F.when(x == PAD, F.lit(MASK)).otherwise(x))
+def query_ids(text: Column, query_maxlen: int, marker: str = "[unused0]", tokens: Tokens | None = None) -> Column:
+    """Exactly query_maxlen ids: with ends and marker, cut, and filled up with masks in place of pads."""
+    t = tokens or HashTokens()
+    head = F.array(F.lit(t.special("[CLS]")), F.lit(t.special(marker)))
+    return fit_length(F.concat(head, t.ids(text, query_maxlen - 2), F.array(F.lit(t.special("[SEP]")))), query_maxlen, t.special("[MASK]"))
 
 
 def query_attention(text: Column, query_maxlen: int, attend_to_mask_tokens: bool) -> Column:
-    """Attention mask beside query_ids()."""
-    real = F.least(F.size(token_ids(text)) + 3, F.lit(query_maxlen))
+    """Attention mask beside query_ids() of the default tokenizer."""
+    real = F.least(F.size(token_strings(text)) + 3, F.lit(query_maxlen))
     return F.transform(F.sequence(F.lit(1), F.lit(query_maxlen)), lambda i: F.lit(attend_to_mask_tokens) | (i <= real))
 
 
@@ -71,15 +114,11 @@ def skiplist(mask_punctuation: bool) -> tuple[str, ...]:
     return tuple(string.punctuation) if mask_punctuation else ()
 
 
-def skip_ids(mask_punctuation: bool) -> list[Column]:
-    return [token_id(F.lit(x)) for x in skiplist(mask_punctuation)] + [F.lit(PAD)]
+def skip_ids(mask_punctuation: bool, tokens: Tokens | None = None) -> list[int]:
+    """Ids left out of documents."""
+    t = tokens or HashTokens()
+    return [*t.of(skiplist(mask_punctuation)), t.special("[PAD]")]
 
 
-def keep_mask(ids: Column, skip: Sequence[Column]) -> Column:
+def keep_mask(ids: Column, skip: Iterable[int]) -> Column:
     return F.transform(ids, lambda x: ~x.isin(*skip))
-
-
-def tokens(passages: DataFrame, doc_maxlen: int, mask_punctuation: bool = True) -> DataFrame:
-    """(pid, pos, token_id, keep): every token of every passage, positions from 1."""
-    rows = passages.select("pid", F.posexplode(document_ids(F.col("text"), doc_maxlen)).alias("p", "token_id"))
-    return rows.select("pid", (F.col("p") + 1).alias("pos"), "token_id", (~F.col("token_id").isin(*skip_ids(mask_punctuation))).alias("keep"))

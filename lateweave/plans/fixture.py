@@ -1,7 +1,7 @@
 """The embeddings table read as token vectors, and the matching DuckDB fragments.
 
 eid = vec_id + 1; eight vectors make a passage; every 16th vector is a
-centroid; the first four are a query's vectors.
+centroid; four vectors from every 50th on are a query's.
 """
 
 from __future__ import annotations
@@ -30,17 +30,12 @@ def cent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(v % 16 == 0).select((F.floor(v / 16) + 1).cast("int").alias("cid"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, queries: int = 1) -> DataFrame:
-    """Four vectors for each query; query q starts at vec_id 100 * q."""
+def query_vectors(spark: SparkSession, sf_dir: str, queries: int | None = None) -> DataFrame:
+    """Every row whose vec_id is divisible by 50 begins a query (qid: its vec_id) of four vectors; with ``queries``, the first so many."""
     v = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").where((F.floor(v / 100) < queries) & (v % 100 < 4))
-    return rows.select(F.floor(v / 100).alias("qid"), (v % 100 + 1).cast("int").alias("qpos"), F.col("embedding"))
-
-
-def every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vector for each query: every row whose vec_id, here qid, is divisible by 50."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0)
-    return rows.select(F.col("vec_id").alias("qid"), F.lit(1).alias("qpos"), F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").where(v % 50 < 4)
+    rows = rows.select((v - v % 50).alias("qid"), (v % 50 + 1).cast("int").alias("qpos"), F.col("embedding"))
+    return rows if queries is None else rows.where(F.col("qid") < 50 * queries)
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,18 +58,19 @@ raw AS (SELECT eid, pid, list_transform(range(1, len(b) + 1), lambda i: c[i] + w
 deco AS (SELECT eid, pid, list_transform(u, lambda x: x / (sqrt(list_inner_product(u, u)) + 1.1920928955078125e-07)) AS d FROM raw)"""
 
 
-def queries_cte(n: int) -> str:
-    return f"q AS (SELECT vec_id // 100 AS qid, (vec_id % 100 + 1)::INTEGER AS qpos, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id // 100 < {n} AND vec_id % 100 < 4)"
+def queries_cte(n: int | None = None) -> str:
+    some = "" if n is None else f" AND vec_id < {50 * n}"
+    return f"q AS (SELECT vec_id - vec_id % 50 AS qid, (vec_id % 50 + 1)::INTEGER AS qpos, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 < 4{some})"
 
 
-def probe_cte(n: int) -> str:
+def probe_cte(n: int | None = None) -> str:
     return f"""{queries_cte(n)},
 probe AS (SELECT * FROM (SELECT qid, qpos, cid, list_inner_product(q, c) AS score,
   row_number() OVER (PARTITION BY qid, qpos ORDER BY list_inner_product(q, c) DESC, cid)::INTEGER AS rank FROM q, cent) WHERE rank <= {NPROBE}),
 cand AS (SELECT DISTINCT qid, pid FROM probe JOIN codes ON cid = code)"""
 
 
-def search_cte(n: int, k: int) -> str:
+def search_cte(k: int, n: int | None = None) -> str:
     return f"""{DECODED}, {probe_cte(n)},
 ms AS (SELECT qid, pid, sum(m) AS score FROM (
   SELECT cand.qid, deco.pid, qpos, max(list_inner_product(q, d)) AS m FROM cand JOIN deco USING (pid) JOIN q ON q.qid = cand.qid GROUP BY ALL) GROUP BY ALL),

@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import encode, ranking
+from .operators.tokenize import Tokens
+from .sources import checkpoint, store
 from .sources import passages as readers
-from .sources import store
+
+#: Queries whose vectors are broadcast together, and partitions named in one filter; more of them, and the whole table is joined.
+QUERIES, NAMED = 4096, 10_000
 
 
 class Searcher:
-    def __init__(self, spark: SparkSession, index_path: str, encoder: encode.Encoder | None = None) -> None:
+    """Tokenizer and encoder are those of the index's checkpoint unless others are given."""
+
+    def __init__(self, spark: SparkSession, index_path: str, encoder: encode.Encoder | None = None, tokens: Tokens | None = None) -> None:
         if not store.exists(spark, index_path):
             raise FileNotFoundError(index_path)
         self.spark = spark
         self.config = store.load_config(spark, index_path)
+        self.plan = store.load_record(spark, index_path, "plan")
         self.centroids, self.codec = store.load_codec(spark, index_path)
         self.compressed = store.load_compressed(spark, index_path)
-        self.postings = spark.read.parquet(f"{index_path}/ivf")
-        self.encoder = encoder or encode.HashEncoder(self.config.dim)
+        self.postings = store.load_postings(spark, index_path)
+        self.tokens, self.encoder = (tokens, encoder) if encoder else checkpoint.load(self.config)
 
-    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, rank, pid, score) for a batch of (qid, text); fewer than k rows where there are fewer candidates."""
-        vectors = encode.encode_queries(queries, self.encoder, self.config)
-        probed = ranking.probe(vectors, self.centroids, self.config.nprobe)
-        candidates = ranking.retrieve(probed, self.postings)
-        rows = ranking.gather(self.compressed, candidates).select("qid", "pid", "code", "residual")
-        scores = ranking.maxsim(rows, vectors, (self.centroids, self.codec))
+    def candidates(self, vectors: DataFrame) -> DataFrame:
+        """(qid, pid) of the passages in a query's probed clusters; of the postings, only the partitions with such clusters are read."""
+        probed = ranking.probe(vectors, self.centroids, self.config.nprobe).select("qid", "cid").distinct().persist()
+        span = store.code_span(int(self.plan["num_partitions"]), int(self.plan["num_embeddings"]))
+        parts = probed.select(F.floor((F.col("cid") - 1) / span).cast("int").alias("p")).distinct().limit(NAMED + 1).collect()
+        postings = self.postings
+        if len(parts) <= NAMED:
+            postings = postings.where(F.col("codes").isin([r["p"] for r in parts]))
+        return ranking.retrieve(probed, postings)
+
+    def embeddings(self, candidates: DataFrame) -> DataFrame:
+        """(qid, pid, code, residual) of the candidates; only their chunks are read."""
+        chunk = store.chunk_of(F.col("pid"), int(self.plan["chunksize"]))
+        chunks = candidates.select(chunk.alias("c")).distinct().limit(NAMED + 1).collect()
+        compressed = self.compressed
+        if len(chunks) <= NAMED:
+            compressed = compressed.where(F.col("chunk_id").isin([r["c"] for r in chunks]))
+        return ranking.gather(compressed, candidates).select("qid", "pid", "code", "residual")
+
+    def search_vectors(self, vectors: DataFrame, k: int) -> DataFrame:
+        """(qid, rank, pid, score) for the vectors (qid, qpos, embedding) of a batch of queries; fewer than k rows where there are fewer candidates."""
+        parts = -(-vectors.select("qid").distinct().count() // QUERIES)
+        several = [vectors.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [vectors]
+        return reduce(DataFrame.unionByName, (self._ranked(some, k) for some in several))
+
+    def _ranked(self, vectors: DataFrame, k: int) -> DataFrame:
+        candidates = self.candidates(vectors).persist()
+        scores = ranking.maxsim(self.embeddings(candidates), vectors, (self.centroids, self.codec))
         return ranking.top_k(scores, k, "qid").select("qid", "rank", "pid", "score")
 
+    def search_many(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, rank, pid, score) for a batch of (qid, text)."""
+        return self.search_vectors(encode.encode_queries(queries, self.encoder, self.config, self.tokens), k)
+
     def search(self, query: str, k: int) -> tuple[list[int], list[float]]:
         """The k best pids and their scores, best first."""
         found = self.search_many(readers.strings(self.spark, [query]).withColumnRenamed("pid", "qid"), k).orderBy("rank").collect()
@@ -39,7 +73,3 @@ class Searcher:
 def hydrate(results: DataFrame, passages: DataFrame) -> DataFrame:
     """results with the passages' columns."""
     return results.join(passages, "pid")
-
-
-def with_text(results: DataFrame, passages: DataFrame) -> DataFrame:
-    return hydrate(results, passages.select("pid", F.col("text")))

@@ -1,4 +1,4 @@
-"""Local model folders: tokenizer configuration, metadata, WordPiece tokenizer and an ONNX encoder.
+"""Local model folders: tokenizer configuration, metadata, WordPiece tokenizer and an ONNX encoder; what a configuration's checkpoint stands for.
 
 Everything heavy is opened once per Python worker, on first use. Only what is
 asked for has to be there; a missing file is named in the error.
@@ -10,7 +10,7 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -19,6 +19,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..config import HASH_ENCODER, RetrievalConfig
+from ..operators.encode import Encoder, HashEncoder
+from ..operators.tokenize import HashTokens, Tokens
+
 TYPE = r"(\S+?)Tokenizer(Fast)?$"
 
 
@@ -66,16 +70,33 @@ def wordpiece(folder: str):
     return BertWordPieceTokenizer(vocab, lowercase=bool(tokenizer_config(folder).get("do_lower_case", True)))
 
 
-def wordpiece_ids(folder: str) -> Any:
-    """A pandas UDF text -> ids with the special tokens at both ends."""
+class WordPieceTokens:
+    """The ids of a folder's tokenizer, in place of those of hashed tokens."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def ids(self, text: Column, most: int) -> Column:
+        folder = self.folder
+
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tokenizer = wordpiece(folder)
+            for part in texts:
+                found = tokenizer.encode_batch([t or "" for t in part], add_special_tokens=False)
+                yield pd.Series([x.ids[: max(0, most)] for x in found], index=part.index, dtype=object)
+
+        return ids(text)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = wordpiece(folder)
-        for part in texts:
-            yield pd.Series([x.ids for x in tokenizer.encode_batch([t or "" for t in part])])
+    def special(self, token: str) -> int:
+        found = wordpiece(self.folder).token_to_id(token)
+        if found is None:
+            raise ValueError(f"no special token {token} in {self.folder}")
+        return found
 
-    return ids
+    def of(self, signs: Iterable[str]) -> list[int]:
+        found = map(wordpiece(self.folder).token_to_id, signs)
+        return [x for x in found if x is not None]
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,24 +109,42 @@ def _session(path: str):
 
 
 class OnnxEncoder:
-    """An exported model with its projection: inputs ids and mask, output (1, tokens, dim)."""
+    """An exported model with its projection: inputs ids, attention mask and, if it asks for them, token types; output (texts, tokens, dim)."""
 
     def __init__(self, path: str, dim: int) -> None:
         self.path, self.dim = path, dim
 
-    def vectors(self, ids: np.ndarray) -> np.ndarray:
+    def vectors(self, ids: np.ndarray, attention: np.ndarray) -> np.ndarray:
         session = _session(self.path)
-        names = [x.name for x in session.get_inputs()]
-        one = ids.astype(np.int64)[None]
-        return session.run(None, dict(zip(names, (one, np.ones_like(one)))))[0][0].astype(np.float32)
+        given = (ids.astype(np.int64), attention.astype(np.int64), np.zeros(ids.shape, np.int64))
+        return session.run(None, dict(zip((x.name for x in session.get_inputs()), given)))[0].astype(np.float32)
 
 
-def load_local(folder: str, item: str) -> Any:
-    """config, tokenizer or model of a local folder."""
+def load_local(folder: str, item: str = "") -> Any:
+    """config, tokenizer or model of a local folder, also as folder:item; without an item (tokenizer, model)."""
+    head, _, last = folder.rpartition(":")
+    if not item and head and last in ("config", "tokenizer", "model"):
+        folder, item = head, last
     if item == "config":
         return {**tokenizer_config(folder), **artifact_metadata(folder)}
     if item == "tokenizer":
-        return wordpiece(folder)
+        wordpiece(folder)
+        return WordPieceTokens(folder)
     if item == "model":
-        return OnnxEncoder(os.path.join(folder, "model.onnx"), int(artifact_metadata(folder)["dim"]))
-    raise ValueError(f"no such item: {item}")
+        path = os.path.join(folder, "model.onnx")
+        if not os.path.isfile(path):
+            raise FileNotFoundError(path)
+        return OnnxEncoder(path, int(artifact_metadata(folder)["dim"]))
+    if item:
+        raise ValueError(f"no such item: {item}")
+    return load_local(folder, "tokenizer"), load_local(folder, "model")
+
+
+def load(config: RetrievalConfig) -> tuple[Tokens, Encoder]:
+    """Tokenizer and encoder of a configuration's checkpoint; an error if the model's dimension is not the configuration's."""
+    if config.checkpoint == HASH_ENCODER:
+        return HashTokens(), HashEncoder(config.dim)
+    tokens, encoder = load_local(config.checkpoint)
+    if encoder.dim != config.dim:
+        raise ValueError(f"the model in {config.checkpoint} has {encoder.dim} dimensions, the configuration {config.dim}")
+    return tokens, encoder

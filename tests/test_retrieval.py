@@ -1,6 +1,7 @@
 import dataclasses
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lateweave.config import RetrievalConfig
 from lateweave.indexer import Indexer
 from lateweave.operators import codec as coding
-from lateweave.operators import encode, evaluate, ranking, tokenize
+from lateweave.operators import encode, evaluate, kmeans, ranking, tokenize
 from lateweave.plans import registry
 from lateweave.searcher import Searcher, hydrate
 from lateweave.sources import passages, store
@@ -123,7 +124,7 @@ def test_distances_of_all_embeddings(spark):
     rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())
     v = np.array([x for _, x in rows], np.float64)
     want = ((v[:, None] - v[None, ::16]) ** 2).sum(2)
-    got = registry.QUERIES["l2_distances_all"](spark, DATA).toArrow().sort_by([("eid", "ascending"), ("cid", "ascending")])
+    got = registry.QUERIES["l2_distances"](spark, DATA).toArrow().sort_by([("eid", "ascending"), ("cid", "ascending")])
     assert got.num_rows == want.size and np.allclose(got["distance"].to_numpy().reshape(want.shape), want, atol=2e-5)
 
 
@@ -141,17 +142,17 @@ def listed(spark, name):
 
 def test_whole_texts_and_default_lengths(spark):
     ids = {r["doc_id"] + 1: plain_ids(r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    assert max(map(len, ids.values())) > 300 and listed(spark, "token_ids_whole") == ids
+    assert max(map(len, ids.values())) > 300 and listed(spark, "token_ids") == ids
     cut = {k: [101, *v, 102][:299] for k, v in ids.items()}
     marked = {k: [v[0], 2, *v[1:]] for k, v in cut.items()}
-    assert listed(spark, "doc_truncate_default") == cut and listed(spark, "marker_insert_default") == marked
+    assert listed(spark, "doc_truncate") == cut and listed(spark, "marker_insert") == marked
     skip = {*(x for c in tokenize.skiplist(True) for x in plain_ids(c)), 0}
     doclens = {k: sum(x not in skip for x in v) for k, v in marked.items()}
-    assert {r["pid"]: r["doclen"] for r in registry.doclens_default(spark, DATA).collect()} == doclens
-    assert {r["pid"]: r["doclen"] for r in registry.encode_passages(spark, DATA).collect()} == doclens
+    assert {r["pid"]: r["doclen"] for r in registry.doclens(spark, DATA).collect()} == doclens
+    assert {r["pid"]: r["vectors"] for r in registry.encode_passages(spark, DATA).collect()} == doclens
     items = {r["item_id"]: plain_ids(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     padded = {k: [101, 1, *v, 102, *[103] * 32] for k, v in items.items()}
-    assert listed(spark, "query_pad_mask_default") == {k: v[:32] for k, v in padded.items()}
+    assert listed(spark, "query_pad_mask") == {k: v[:32] for k, v in padded.items()}
     assert {r["vectors"] for r in registry.encode_queries(spark, DATA).collect()} == {32}
 
 
@@ -162,19 +163,132 @@ def test_every_query_is_searched(spark):
     decoded = np.array([x for _, x in sorted((r["eid"], r["embedding"]) for r in rows)])
     codes, want = (v @ v[::16].T).argmax(1), {}
     for q in range(0, len(v), 50):
-        near = np.argsort(-(v[::16] @ v[q]), kind="stable")[:2]
+        near = np.unique(np.argsort(-(v[q : q + 4] @ v[::16].T), axis=1, kind="stable")[:, :2])
         pids = sorted({int(e) // 8 + 1 for e in np.flatnonzero(np.isin(codes, near))})
-        scores = {p: (decoded[8 * p - 8 : 8 * p] @ v[q]).max() for p in pids}
+        scores = {p: (decoded[8 * p - 8 : 8 * p] @ v[q : q + 4].T).max(0).sum() for p in pids}
         want[q] = sorted(pids, key=lambda p: -scores[p])[:10]
-    got = {}
-    for r in registry.search_batched_all(spark, DATA).orderBy("qid", "rank").collect():
-        got.setdefault(r["qid"], []).append(r["pid"])
-    assert got == want and len(got) == 10
+    for name in ("search_batched", "search_stored"):
+        got = {}
+        for r in registry.QUERIES[name](spark, DATA).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["pid"])
+        assert got == want and len(got) == 10
     texts = {r["doc_id"] + 1: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     near = [min(evaluate.lcs_distance(texts[p], texts[q // 8 + 1]) for p in got[q][:5]) < 0.33 for q in got]
     assert registry.success_at_k_lcs(spark, DATA).first()["success"] == pytest.approx(np.mean(near))
 
 
+def test_search_reads_only_the_partitions_it_needs(spark, monkeypatch):
+    monkeypatch.setattr(store, "POSTINGS", 20)
+    path = registry.stored_index(spark, DATA)
+    searcher, vectors = Searcher(spark, path), registry.fx.query_vectors(spark, DATA, 1)
+    parts = spark.read.parquet(f"{path}/ivf").select("codes").distinct().count()
+    assert parts > 10
+
+    def read(df, name):
+        """Partitions that the scan of a table names."""
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        scan = next(x for x in plan.split("\n\n") if re.search(rf"Location: \S+ \[.*/{name}", x))
+        return re.search(r"PartitionFilters: \[(.*)\]", scan)[1]
+
+    candidates = searcher.candidates(vectors)
+    assert "codes" in read(candidates, "ivf") and 0 < len(re.findall(r"\d+", read(candidates, "ivf").partition("IN")[2])) <= 8
+    rows = searcher.embeddings(candidates)
+    assert "chunk_id" in read(rows, "compressed")
+    whole = ranking.retrieve(ranking.probe(vectors, searcher.centroids, 2), searcher.postings)
+    assert {tuple(r) for r in candidates.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_many_queries_are_searched_in_parts(spark, monkeypatch):
+    from lateweave import searcher
+
+    path = registry.stored_index(spark, DATA)
+    vectors = registry.fx.query_vectors(spark, DATA)
+    whole = {tuple(r) for r in Searcher(spark, path).search_vectors(vectors, 3).collect()}
+    monkeypatch.setattr(searcher, "QUERIES", 3)
+    monkeypatch.setattr(searcher, "NAMED", 1)
+    assert {tuple(r) for r in Searcher(spark, path).search_vectors(vectors, 3).collect()} == whole
+
+
+def test_products_in_blocks_give_the_same(monkeypatch):
+    rng = np.random.default_rng(0)
+    x, c = rng.integers(-3, 4, (57, 8)).astype(float), rng.integers(-3, 4, (41, 8)).astype(float)
+    dots, dist = x @ c.T, ((x[:, None] - c[None]) ** 2).sum(2)
+    order = np.argsort(-dots, axis=1, kind="stable")
+    for points, numbers in ((1000, 1 << 22), (10, 70), (7, 7)):
+        monkeypatch.setattr(kmeans, "POINTS", points)
+        monkeypatch.setattr(kmeans, "NUMBERS", numbers)
+        assert (kmeans.nearest_dot(x, c) == dots.argmax(1)).all() and (kmeans.nearest_l2(x, c) == dist.argmin(1)).all()
+        for k in (1, 3, 41):
+            rows, scores = kmeans.best_dot(x, c, k)
+            assert (rows == order[:, :k]).all() and np.array_equal(scores, np.take_along_axis(dots, rows, 1))
+
+
+def test_lines_of_several_pieces_are_numbered_in_order(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "c").mkdir()
+    want = []
+    for name, n in (("a", 300), ("b", 7), ("c", 900)):
+        rows = [f"{name} {i} " + "x" * (i % 17) for i in range(n)]
+        want += rows
+        (tmp_path / "c" / f"{name}.txt").write_text("\n".join(rows) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        got = passages.lines(spark, str(tmp_path / "c")).orderBy("pid").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["pid"], r["text"]) for r in got] == [(i + 1, t) for i, t in enumerate(want)]
+
+
+class Recorder:
+    """An encoder that notes what it is given."""
+
+    dim = 8
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def vectors(self, ids, attention):
+        import uuid
+
+        np.savez(f"{self.folder}/{uuid.uuid4().hex}", ids=ids, attention=attention)
+        return np.ones((*ids.shape, 8), np.float32)
+
+
+def given(folder):
+    return [dict(np.load(f)) for f in sorted(folder.glob("*.npz"))]
+
+
+def test_settings_of_documents_and_queries(spark, tmp_path):
+    texts = passages.strings(spark, [f"{'word ' * i}." for i in range(10)]).coalesce(1)
+    config = RetrievalConfig(dim=8, doc_maxlen=9, index_bsize=4, doc_token_id="[unused0]", mask_punctuation=False)
+    rows = encode.encode_passages(texts, Recorder(str(tmp_path)), config).collect()
+    batches = given(tmp_path)
+    assert sorted(len(b["ids"]) for b in batches) == [2, 4, 4]
+    assert all((b["ids"][:, 1] == tokenize.QUERY_MARK).all() and (b["attention"] == (b["ids"] != 0)).all() and b["ids"].shape[1] <= 9 for b in batches)
+    # Ends, marker, words and the dot, cut to nine.
+    assert Counter(r["pid"] for r in rows) == {i + 1: min(9, i + 4) for i in range(10)}
+    for attend in (False, True):
+        folder = tmp_path / f"q{attend}"
+        folder.mkdir()
+        config = RetrievalConfig(dim=8, query_maxlen=8, index_bsize=100, query_token_id="[unused1]", attend_to_mask_tokens=attend)
+        assert encode.encode_queries(texts.withColumnRenamed("pid", "qid"), Recorder(str(folder)), config).count() == 80
+        (batch,) = given(folder)
+        assert (batch["ids"][:, 1] == tokenize.DOC_MARK).all() and batch["ids"].shape == (10, 8)
+        assert (batch["attention"] == (True if attend else batch["ids"] != tokenize.MASK)).all()
+    with pytest.raises(ValueError, match="special token"):
+        encode.encode_queries(texts.withColumnRenamed("pid", "qid"), Recorder(""), RetrievalConfig(query_token_id="[none]"))
+    with pytest.raises(ValueError, match="rank"):
+        RetrievalConfig(rank=1)
+
+
+def test_binarize_is_its_definition(spark):
+    codec = coding.Codec((-0.5, 0.0, 0.5), (-0.7, -0.2, 0.2, 0.7), 0.4)
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.choice([-0.5, -0.4, 0.0, 0.1, 0.5, 0.9], 16)]) for i in range(50)] + [(99, None)], "i int, r array<double>")
+    both = rows.select(coding.binarize(F.col("r"), codec, 16).alias("a"), coding.binarize_expression(F.col("r"), codec, 16).alias("b"), "r")
+    assert all(x["a"] == x["b"] if x["r"] else x["a"] is None for x in both.collect())
+
+
 def test_config_round_trip():
     c = dataclasses.replace(CONFIG, chunksize=None)
     assert RetrievalConfig.from_json(c.to_json()) == c
