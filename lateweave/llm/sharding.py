@@ -57,8 +57,9 @@ def place(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", tex
     record's header), text_crc32, shard, slot, grown_shard (with one more shard
     of weight ``extra``, the mean weight by default). Slots follow (key,
     text_crc32, size), null keys first; fully equal rows get neighbouring
-    slots in any order. An empty table gives an empty result; columns of other
-    names are ignored.
+    slots in any order. Texts of any length count whole; an empty text has the
+    header's 16 bytes; a null key counts as the empty text. An empty table gives
+    an empty result; columns of other names are ignored.
     """
     spark = docs.sparkSession
     extra = sum(weights) / len(weights) if extra is None else extra
