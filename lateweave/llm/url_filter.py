@@ -56,12 +56,11 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     """The longest fitting rule as struct(verdict, rule); null if none fits.
 
     A rule ``host/path`` fits its host and all subdomains if the path starts
-    with the rule's path. Of equally long rules block comes first.
+    with the rule's path. Of equally long rules block comes first, then the
+    last in order.
     """
-    if len(rules) > 1000:
-        raise ValueError("more than 1000 rules: they would not fit one expression")
-    out = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "block")):
+    out = F.lit(None).cast(_RULE)
+    for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "block", r[1])):
         name, _, start = rule.partition("/")
         name = name.lower()
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
@@ -69,6 +68,28 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return out
 
 
+#: Rules that become one expression; more of them are joined.
+EXPRESSION_RULES = 1000
+_RULE = "struct<verdict:string,rule:string>"
+
+
+def with_rules(rows: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """rows (host, path, ...) with ``_rule``, as rule_for() has it, whatever the number of rules: many are joined by the host's suffixes."""
+    if len(rules) <= EXPRESSION_RULES:
+        return rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    at = F.instr("rule", "/")
+    named = rows.sparkSession.createDataFrame(sorted(set(rules)), "verdict string, rule string").select(
+        "verdict", "rule", F.lower(F.substring_index("rule", "/", 1)).alias("name"), F.concat(F.lit("/"), F.when(at > 0, F.substring("rule", at + 1, F.length("rule"))).otherwise("")).alias("start")
+    )
+    parts = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+    each = rows.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("name"))
+    fitting = each.join(named, "name").where(F.col("path").startswith(F.col("start")))
+    best = fitting.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("_best"))
+    found = best.select("host", "path", F.struct(F.col("_best.verdict").alias("verdict"), F.col("_best.rule").alias("rule")).alias("_rule"))
+    return rows.join(found, ["host", "path"], "left")
+
+
 def _windows(urls: DataFrame, order: int, *keep: str) -> DataFrame:
     """A row for each character of ``url``: the character and the ``order`` characters before it, as ``g``."""
     chars = F.concat(F.array(*[F.lit(PAD)] * order), F.regexp_extract_all(lower_ascii(F.col("url")), F.lit("(?s)."), 0))
@@ -142,7 +163,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], *, key: str =
     columns are ignored, an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), host.alias("host"), path.alias("path")).withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
+    rows = with_rules(rows, rules)
     scored, threshold = url_scores(rows.select("url", F.col("_rule.verdict").alias("label")), model)
     joined = rows.join(scored.select("url", "score"), "url", "left")
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")

@@ -150,6 +150,17 @@ def test_url_parts_and_rules(spark):
     assert got[0]["verdict"] == "block" and got[7]["verdict"] == "allow" and got[3]["verdict"] == got[4]["verdict"] == "block"
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    rng = random.Random(2)
+    hosts = ["a.org", "b.a.org", "org", "x.com", "c.b.a.org", "notorg", ""]
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice(['a.org', 'org', 'b.a.org', 'COM', 'x.com', 'rg'])}/{rng.choice(['', 'd', 'de/', 'de/1', 'f'])}") for _ in range(25)]
+    rows = spark.createDataFrame([(h, p) for h in hosts for p in ("", "/", "/d", "/de/1/x", "/f?")], "host string, path string")
+    one = {(r["host"], r["path"]): r["_rule"] for r in url_filter.with_rules(rows, rules).collect()}
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 10)
+    many = url_filter.with_rules(rows, rules).collect()
+    assert len(many) == rows.count() and {(r["host"], r["path"]): r["_rule"] for r in many} == one and sum(x is not None for x in one.values()) > 10
+
+
 def test_url_models_tell_kinds_apart(spark):
     good = [f"http://n{i}.org/article/{i}" for i in range(80)]
     bad = [f"http://spam{i}.biz/win-casino-{i}" for i in range(80)]
