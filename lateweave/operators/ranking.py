@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,9 @@ def gather(compressed: DataFrame, candidates: DataFrame, by: str = "qid") -> Dat
     return compressed.join(candidates, "pid")
 
 
-def _scored(model):
+def _scored(shared, decoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding, queries = model.value
+        coding, queries = decoder and decoder.value, shared.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -102,31 +103,37 @@ def _scored(model):
     return run
 
 
-def query_vectors(queries: DataFrame) -> dict[int, np.ndarray]:
-    """qid -> (qpos ascending, dim); the queries of one batch are sent to every worker."""
-    found = queries.select("qid", "qpos", F.col("embedding").cast("array<double>").alias("embedding")).toArrow().sort_by([("qid", "ascending"), ("qpos", "ascending")]).combine_chunks()
+def query_vectors(found: pa.Table) -> dict[int, np.ndarray]:
+    """qid -> (qpos ascending, dim) of collected rows (qid, qpos, embedding)."""
     if not found.num_rows:
         return {}
+    found = found.sort_by([("qid", "ascending"), ("qpos", "ascending")]).combine_chunks()
     qid, x = found["qid"].to_numpy(), matrix(found["embedding"].chunk(0))
-    return {int(q): x[qid == q] for q in np.unique(qid)}
+    names, first = np.unique(qid, return_index=True)
+    return dict(zip(names.tolist(), np.split(x, first[1:])))
 
 
 def maxsim(rows: DataFrame, queries: DataFrame, coding: tuple[DataFrame, Codec] | None = None) -> DataFrame:
     """(qid, pid, score): the sum over query vectors of the best inner product with a passage's vectors.
 
     rows: (qid, pid, embedding), or with coding (centroids, codec)
-    (qid, pid, code, residual), which are decoded on the fly. Every batch gives
-    its best products for a passage; a passage that lies in several batches is
-    put together by one small aggregation.
+    (qid, pid, code, residual), which are decoded on the fly.
     """
-    found = query_vectors(queries)
-    if not found:
+    decoder = rows.sparkSession.sparkContext.broadcast((centroid_matrix(coding[0]), coding[1])) if coding else None
+    return maxsim_of(rows, query_vectors(queries.select("qid", "qpos", "embedding").toArrow()), decoder)
+
+
+def maxsim_of(rows: DataFrame, queries: dict[int, np.ndarray], decoder: Broadcast | None = None) -> DataFrame:
+    """maxsim() for collected queries, which are broadcast, and a broadcast ((cids, centroids), codec).
+
+    Every batch gives its best products for a passage; a passage that lies in
+    several batches is put together by one small aggregation.
+    """
+    if not queries:
         return rows.select("qid", "pid", F.lit(0.0).alias("score")).limit(0)
-    width = max(len(v) for v in found.values())
-    shared = rows.sparkSession.sparkContext.broadcast(((centroid_matrix(coding[0]), coding[1]) if coding else None, found))
-    columns = ("code", "residual") if coding else ("embedding",)
-    best = rows.select(F.col("qid").cast("long"), F.col("pid").cast("long"), *columns).mapInArrow(_scored(shared), "qid long, pid long, best array<double>")
+    width = max(len(v) for v in queries.values())
+    shared = rows.sparkSession.sparkContext.broadcast(queries)
+    columns = ("code", "residual") if decoder else ("embedding",)
+    best = rows.select(F.col("qid").cast("long"), F.col("pid").cast("long"), *columns).mapInArrow(_scored(shared, decoder), "qid long, pid long, best array<double>")
     whole = best.groupBy("qid", "pid").agg(*[F.max(F.get("best", i)).alias(f"_{i}") for i in range(width)])
     return whole.select("qid", "pid", sum((F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(width)), F.lit(0.0)).alias("score"))
-
-

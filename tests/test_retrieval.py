@@ -203,10 +203,20 @@ def test_many_queries_are_searched_in_parts(spark, monkeypatch):
 
     path = registry.stored_index(spark, DATA)
     vectors = registry.fx.query_vectors(spark, DATA)
-    whole = {tuple(r) for r in Searcher(spark, path).search_vectors(vectors, 3).collect()}
-    monkeypatch.setattr(searcher, "QUERIES", 3)
-    monkeypatch.setattr(searcher, "NAMED", 1)
-    assert {tuple(r) for r in Searcher(spark, path).search_vectors(vectors, 3).collect()} == whole
+
+    def found():
+        return {(r["qid"], r["rank"], r["pid"], round(r["score"], 9)) for r in Searcher(spark, path).search_vectors(vectors, 3).collect()}
+
+    whole = found()
+    assert len(whole) == 30
+    monkeypatch.setattr(searcher, "FEW_CANDIDATES", 5)
+    assert found() == whole
+    monkeypatch.setattr(searcher, "FEW_VECTORS", 5)
+    for queries, named in ((4096, 10_000), (3, 10_000), (3, 1)):
+        monkeypatch.setattr(searcher, "QUERIES", queries)
+        monkeypatch.setattr(searcher, "NAMED", named)
+        assert found() == whole
+    assert Searcher(spark, path).search_vectors(vectors.limit(0), 3).count() == 0
 
 
 def test_products_in_blocks_give_the_same(monkeypatch):
