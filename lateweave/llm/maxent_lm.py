@@ -58,7 +58,7 @@ class LmParams:
     #: Weights stay within this, so that sums of them have exponentials.
     most: float = 15.0
     #: Bytes of text to a chunk: its arrays fit a core's cache.
-    chunk: int = 1 << 14
+    chunk: int = 1 << 15
 
 
 #: The low bits of a token's number are its suffix class.
@@ -323,23 +323,38 @@ def _observed(model):
     return run
 
 
+#: Softmaxes to a short sum.
+_SHORT = 64
+
+
 def _expected(model):
     """How often the model expects each row to meet each class, and each place in a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
-        p, seen = m.params, False
-        by_class, by_word = (np.zeros(x.shape, np.float64) for x in (m.by_class, m.by_word))
+        p, seen = m.params, 0
+        # Short sums are in single precision; they are moved to the long ones before small numbers could get lost in them.
+        wide = [np.zeros(x.shape, np.float64) for x in (m.by_class, m.by_word)]
+        by_class, by_word = (np.zeros(x.shape, np.float32) for x in (m.by_class, m.by_word))
+
+        def move() -> None:
+            for long, short in zip(wide, (by_class, by_word)):
+                long += short
+                short[:] = 0
+
         for batch in batches:
             for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
-                seen = True
                 for cls, place, features in _slices(*_contexts(m, h, doc)):
+                    seen += 1
+                    if seen % _SHORT == 0:
+                        move()
                     _expectation(m.class_base, m.by_class, _rows(features, p), cls, by_class)
                     own = np.flatnonzero(place >= 0)
                     if len(own):
                         _expectation(m.word_base[cls[own]], m.by_word, _rows(features[:, own], p, cls[own]), place[own], by_word)
         if seen:
-            yield _blocks(np.concatenate([by_class, by_word], 1).astype(np.float32))
+            move()
+            yield _blocks(np.concatenate(wide, 1).astype(np.float32))
 
     return run
 
