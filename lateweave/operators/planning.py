@@ -37,6 +37,8 @@ def heldout_split(sample: DataFrame, size: int, key: str = "eid", seed: int = 0)
     """(train, held out): the first ``size`` rows in hash order are held out."""
     marked = sample.withColumn("_h", hash_order(F.col(key), seed))
     last = marked.orderBy("_h", key).limit(size).select("_h", F.col(key).alias("_k"))
+    # The usual 50,000 keys are a few MB; the vectors stay where they are.
+    last = F.broadcast(last) if size <= 100_000 else last
     on = (marked["_h"] == last["_h"]) & (marked[key] == last["_k"])
     return marked.join(last, on, "left_anti").drop("_h"), marked.join(last, on, "left_semi").drop("_h")
 
