@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import brief, lean, materialize, most_frequent, small_batches
+from .common import BROADCAST_BYTES, brief, lean, materialize, most_frequent, small_batches
 from .connected import components
 from .word_hash import BASE, mix, word_hashes
 
@@ -265,15 +265,20 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         left, right = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
         near = left.join(brief(candidates, 32), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(lean(_plausible(p)), "a long, b long")
         near = materialize(near, f"{name}-near")
+        few = near.count() * 2 * 64 <= BROADCAST_BYTES
         wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
-        one = materialize(classes.join(brief(materialize(wanted, f"{name}-classes"), 32), "class", "left_semi").select("class", F.col("key").alias("_k")), f"{name}-wanted")
+        wanted = F.broadcast(wanted) if few else brief(materialize(wanted, f"{name}-classes"))
+        # As many rows as there are classes wanted at most: what lies before a bounded table needs no table of its own.
+        one = classes.join(wanted, "class", "left_semi").select("class", F.col("key").alias("_k"))
+        one = F.broadcast(one) if few else brief(materialize(one, f"{name}-wanted"))
         # A key may name several rows; a text's class tells them apart, and of equal rows one is enough.
-        texts = rows.join(brief(one), F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
+        texts = rows.join(one, F.col("key").eqNullSafe(F.col("_k"))).select("class", "text")
         sets = materialize(texts.mapInArrow(lean(_checked_sets(p)), "class long, set binary").dropDuplicates(["class"]), f"{name}-sets")
         left, right = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        return left.join(brief(near, 32), "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(_verify(p)), "a long, b long")
+        return left.join(F.broadcast(near) if few else near, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(_verify(p)), "a long, b long")
 
-    f1, f2 = (first.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
+    firsts = brief(first)
+    f1, f2 = (firsts.select(F.col("grp").alias(f"g{i}"), F.col("class").alias(c)) for i, c in ((1, "a"), (2, "b")))
 
     def neighbours(block: DataFrame, turns: int, seed: int, clustered: bool) -> DataFrame:
         """(a, b): each group's first class, and its predecessor's and its hub's, in the group's first ``turns`` blocks where the two aren't one cluster yet.
@@ -295,13 +300,13 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             near = near.where((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2")))
         near = near.withColumn("turn", F.row_number().over(Window.partitionBy("grp", "kind").orderBy("pos"))).where(F.col("turn") <= turns)
         found = near.select(F.least("grp", "grp2").alias("x"), F.greatest("grp", "grp2").alias("y")).distinct()
-        return found.join(brief(f1), F.col("x") == F.col("g1")).join(brief(f2), F.col("y") == F.col("g2")).select("a", "b")
+        return found.join(f1, F.col("x") == F.col("g1")).join(f2, F.col("y") == F.col("g2")).select("a", "b")
 
     def clusters_of(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Classes with their clusters so far, and each group's lowest and highest cluster."""
         clusters = materialize(components(links), f"{name}-clusters")
         named = classes.join(brief(clusters), classes["class"] == clusters["node"], "left").select("class", "grp", F.coalesce("root", "class").alias("cluster"))
-        return named, materialize(named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")), f"{name}-spread")
+        return named, brief(materialize(named.groupBy("grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")), f"{name}-spread"))
 
     # Before the first links every group is a cluster of its own.
     block = small.unionByName(large)
@@ -309,7 +314,7 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = materialize(verified(pairs, "join-0"), "join-0-links")
     for turn, width in enumerate(p.chain[1:], 1):
         _, spread = clusters_of(links, f"join-{turn}")
-        tried = materialize(neighbours(block.join(brief(spread), "grp"), width, turn, True), f"join-{turn}-pairs")
+        tried = materialize(neighbours(block.join(spread, "grp"), width, turn, True), f"join-{turn}-pairs")
         pairs = pairs.unionByName(tried)
         links = links.unionByName(materialize(verified(tried, f"join-{turn}"), f"join-{turn}-links"))
 
@@ -318,10 +323,10 @@ def link_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     crossing = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
     bounds = (F.col("x.s") == F.col("y.s")) & (F.col("x.grp") < F.col("y.grp")) & crossing & _bounds(p, "x.n", "x.pos", "y.n", "y.pos")
     whole = Window.partitionBy("s")
-    few = small.drop("members").join(brief(spread), "grp").select("*", F.min("lo").over(whole).alias("l"), F.max("hi").over(whole).alias("h")).where("l < h").drop("l", "h")
+    few = small.drop("members").join(spread, "grp").select("*", F.min("lo").over(whole).alias("l"), F.max("hi").over(whole).alias("h")).where("l < h").drop("l", "h")
     met = few.alias("x").join(few.alias("y"), bounds).select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2"))
     # Of a large block, each row meets one part of the others at a time.
-    many = materialize(large.join(brief(spread), "grp").join(brief(sole, 160), "grp"), "join-last-large")
+    many = materialize(large.join(spread, "grp").join(brief(sole, 160), "grp"), "join-last-large")
     several = materialize(many.groupBy("s").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("s"), "join-last-several")
     many = many.join(brief(several), "s", "left_semi")
     parts = F.ceil(F.col("members") / p.block).cast("int")

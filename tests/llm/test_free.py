@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lateweave.llm import connected, encoders, language_id, line_dedup, maxent_lm, ngram_join, packing, token_files, word_hash
+from lateweave.llm import common, connected, encoders, language_id, line_dedup, maxent_lm, ngram_join, packing, token_files, word_hash
 
 from .brute_lines import dedup
 from .test_native import DOCS, ODD, WORD, docs
@@ -31,6 +31,24 @@ def test_word_hashes_depend_on_words_alone():
     assert word_hash.word_hashes(None)[0].size == word_hash.word_hashes(" \n")[0].size == 0 and tail[1] == ord("c")
 
 
+@pytest.fixture
+def nothing_broadcast(monkeypatch):
+    for m in (common, connected, ngram_join):
+        monkeypatch.setattr(m, "BROADCAST_BYTES", -1)
+
+
+def test_components_by_shuffles_alone(spark, nothing_broadcast):
+    test_components(spark)
+
+
+def test_near_duplicates_by_shuffles_alone(spark, nothing_broadcast):
+    test_near_duplicates_match_brute_force(spark, 1, (8,))
+
+
+def test_lines_by_shuffles_alone(spark, nothing_broadcast):
+    test_lines_match_brute_force(spark)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100), (200, 200)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected.components(edges).collect()}
