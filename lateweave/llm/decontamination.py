@@ -127,8 +127,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     def windows(exact: bool, size: int) -> Column:
         return F.transform(_hashes(F.col("_o" if exact else "_t"), size), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(size).alias("size"), F.lit(exact).alias("exact")))
 
-    none = F.array().cast("array<struct<h:bigint,pos:int,size:int,exact:boolean>>")
-    at = words.select("key", "th", F.explode(F.concat(*[windows(*k) for k in kinds]) if kinds else none).alias("x")).select("key", "th", "x.*")
+    if len(kinds) > 1:
+        at = words.select("key", "th", F.explode(F.concat(*[windows(*k) for k in kinds])).alias("x")).select("key", "th", "x.*")
+    else:
+        # One kind needs no structs.
+        exact, size = kinds[0] if kinds else (False, p.window)
+        column = F.col("_o" if exact else "_t") if kinds else F.array().cast("array<string>")
+        at = words.select("key", "th", F.posexplode(_hashes(column, size)).alias("pos", "h"), F.lit(size).alias("size"), F.lit(exact).alias("exact"))
     hits = at.join(F.broadcast(narrow) if few else narrow, ["h", "size", "exact"]).drop("exact")
     hits = materialize(hits.withColumn("shift", F.col("pos") - F.col("ipos")), "leaks-hits")
 
