@@ -253,7 +253,7 @@ def _expectation(base: np.ndarray, table: np.ndarray, rows: np.ndarray, target:
 
 
 #: Rows added up at a time by _segment_sums().
-_WIDE = 4
+_WIDE = 12
 
 
 def _segment_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,13 +267,18 @@ def _segment_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
         parts = -(-size // _WIDE)
         start = np.repeat(first, parts) + _WIDE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         left = np.minimum(_WIDE, np.repeat(first + size, parts) - start)
-        sums = values.take(at[start], 0)
+        # The fullest parts first, so that those with a further member are a head of the array.
+        fullest = np.argsort((_WIDE - left).astype(np.uint8), kind="stable")
+        begin = start[fullest]
+        sums = values.take(at[begin], 0)
         for k in range(1, _WIDE):
-            more = np.flatnonzero(left > k)
-            sums[more] += values.take(at[start[more] + k], 0)
+            more = np.count_nonzero(left > k)
+            sums[:more] += values.take(at[begin[:more] + k], 0)
         if len(start) == len(first):
-            return name[first].astype(np.int64), sums
-        values, name, at = sums, name[start], np.arange(len(start))
+            return name[begin].astype(np.int64), sums
+        place = np.empty(len(start), np.int64)
+        place[fullest] = np.arange(len(start))
+        values, name, at = sums, name[start], place
 
 
 #: Tables go through the shuffle in so many blocks.

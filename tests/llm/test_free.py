@@ -401,7 +401,7 @@ def test_lm_segment_sums(n, width, top):
     want = np.zeros((top, width))
     for r in rows:
         np.add.at(want, r, values)
-    assert at.tolist() == sorted(set(rows.ravel().tolist())) and np.allclose(sums, want[at])
+    assert sorted(at.tolist()) == sorted(set(rows.ravel().tolist())) and np.allclose(sums, want[at])
 
 
 def test_lm_scores_do_not_depend_on_the_partitioning(spark):
