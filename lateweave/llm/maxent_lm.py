@@ -3,10 +3,11 @@
 p(word | history) = p(class | history) * p(word | class, history). The most
 frequent words form classes of equal size, modelled word by word; all other
 words fall into classes by their last letters and follow the add-half unigram
-of their class, which leaves room for unseen words. Both softmaxes start from
-the corpus counts as base measure and add the weights of hashed features of the
-history: the word before, the two before together, and the second and third
-word before as skips.
+of their class, which leaves room for unseen words, mixed with how often the
+word itself came after the word before. Both softmaxes start from the corpus
+counts as base measure and add the weights of hashed features of the history:
+the word before, the two before together, and the second and third word before
+as skips.
 
 Counts cover all training documents. Weights are trained by synchronous
 distributed gradient updates. The gradient of a weight is how often its feature
@@ -17,12 +18,16 @@ nothing. An update scales the gradient iteratively: each weight moves by a share
 of ln(observed / expected), both smoothed. At weights of 0 the expectation
 follows from counts alone, so that the first update takes no softmax; each round
 after it is one pass of softmaxes. Scoring works in numpy batches. Word counts
-beyond the bounded table that workers hold are joined by a shuffle.
+beyond the bounded table that workers hold are joined by a shuffle. So are the
+counts of pairs of words: every word beyond the softmaxes has its own, however
+many there are. Parcels of documents send theirs to buckets of words, which
+count the training ones and answer with what each adds to its document's score.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, most_frequent, small_batches, task_rows
+from .common import lean, materialize, small_batches, task_rows
 from .word_hash import hash_bytes, mix
 
 
@@ -57,6 +62,8 @@ class LmParams:
     smoothing: float = 1000.0
     #: Weights stay within this, so that sums of them have exponentials.
     most: float = 15.0
+    #: Occurrences after a word that the class's unigram counts for, beside the counted ones.
+    unigram_counts: float = 16.0
     #: Bytes of text to a chunk: its arrays fit a core's cache.
     chunk: int = 1 << 15
 
@@ -121,6 +128,8 @@ class LmModel:
     #: Weights: (buckets, classes) and (buckets, class_words).
     by_class: np.ndarray
     by_word: np.ndarray
+    #: How often the other words of each suffix class come first in a text (row 0), or after each frequent word (its number + 1).
+    after: np.ndarray
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token among the held ones, and whether it is there: by a direct table first, the rest by search."""
@@ -145,9 +154,35 @@ def count_words(train: DataFrame, p: LmParams, text: str = "text") -> DataFrame:
     return materialize(rows.groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
 
 
+def _top(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` words with the largest counts, of equally frequent ones those with the smaller hash.
+
+    Few counts differ (their sum is the number of tokens). Words of the last
+    count are told apart by the first 16 bits of their hashes, and by the whole
+    hash where these are equal, so that no task sorts all of them.
+    """
+
+    def cut(sizes: pa.Table, most: int) -> tuple[int, int] | None:
+        """Which row of sizes is the first that doesn't fit whole, and how many of it do."""
+        over = np.cumsum(sizes["n"].to_numpy()) - most
+        at = int(np.argmax(over > 0)) if (over > 0).any() else None
+        return None if at is None else (at, sizes["n"][at].as_py() - int(over[at]))
+
+    size = F.count(F.lit(1)).alias("n")
+    sizes = counts.groupBy("c").agg(size).toArrow().sort_by([("c", "descending")])
+    if (found := cut(sizes, most)) is None:
+        return counts
+    least, left = sizes["c"][found[0]].as_py(), found[1]
+    tied, bits = counts.where(F.col("c") == least), F.shiftrightunsigned("h", 48)
+    sizes = tied.groupBy(bits.alias("bits")).agg(size).toArrow().sort_by("bits")
+    at, left = cut(sizes, left)
+    edge = sizes["bits"][at].as_py()
+    return counts.where((F.col("c") > least) | ((F.col("c") == least) & (bits < edge))).unionByName(tied.where(bits == edge).orderBy("h").limit(left))
+
+
 def _start(counts: DataFrame, p: LmParams) -> LmModel:
     by_suffix = {r["suffix"]: (r["n"], r["v"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(63)).alias("suffix")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    top = most_frequent(counts, p.held_counts).toArrow()
+    top = _top(counts, max(p.held_counts, p.frequent_classes * p.class_words)).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     by_count = np.lexsort((h, -c))
     h, c = h[by_count], c[by_count]
@@ -174,6 +209,7 @@ def _start(counts: DataFrame, p: LmParams) -> LmModel:
     return LmModel(
         p, tokens, distinct, h[all_], c[all_], h[:m][order], rank[order], classes.astype(np.float32), word_base.astype(np.float32), np.log(n + 0.5 * (v + 1)),
         np.zeros((p.buckets, k), np.float32), np.zeros((p.buckets, p.class_words), np.float32),
+        np.zeros((len(word_c.ravel()) + 1, p.suffix_classes), np.int64),
     )
 
 
@@ -205,6 +241,13 @@ def _contexts(m: LmModel, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, n
         return cls, place, np.stack([mix(s + np.uint64((k + 1) << 50)) for k, s in enumerate(seeds)])
 
 
+def _before(m: LmModel, cls: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The row of m.after of each token's word before; -1 if that isn't a frequent word."""
+    row = np.zeros(len(cls), np.int64)
+    row[1:] = np.where(doc[1:] == doc[:-1], np.where(place[:-1] >= 0, cls[:-1] * m.params.class_words + place[:-1] + 1, -1), 0)
+    return row
+
+
 def _rows(features: np.ndarray, p: LmParams, cls: np.ndarray | None = None) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((mix(features + np.uint64(0x9E3779B97F4A7C15) * (cls.astype(np.uint64) + np.uint64(1))) if cls is not None else features) & np.uint64(p.buckets - 1)).astype(np.int64)
@@ -296,13 +339,13 @@ def _blocks(whole: np.ndarray) -> pa.RecordBatch:
 _COUNTED = 1 << 16
 
 
-def _observed(model):
-    """How often each row meets each class, each place in a class and each frequent class."""
+def _observed(model, with_after: bool = False):
+    """How often each row meets each class, each place in a class and each frequent class; and, cut into so many rows, LmModel.after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
         p, classes = m.params, m.by_class.shape[1]
-        whole = [np.zeros(p.buckets * width, np.int64) for width in (classes, p.class_words, p.frequent_classes)]
+        whole = [np.zeros(p.buckets * width, np.int64) for width in (classes, p.class_words, p.frequent_classes, _after_width(m) if with_after else 0)]
 
         def add(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
             cls, place, features = (np.concatenate([x[i] for x in held], -1) for i in range(3))
@@ -317,6 +360,11 @@ def _observed(model):
         for batch in batches:
             for h, doc, _, _ in _chunks(batch.column(0).to_pylist(), p):
                 held.append(_contexts(m, h, doc))
+                if with_after:
+                    cls, place, _ = held[-1]
+                    row = _before(m, cls, place, doc)
+                    own = np.flatnonzero((place < 0) & (row >= 0))
+                    np.add.at(whole[3], row[own] * p.suffix_classes + cls[own] - p.frequent_classes, 1)
                 if sum(len(x[0]) for x in held) >= _COUNTED:
                     add(held)
                     held = []
@@ -328,6 +376,11 @@ def _observed(model):
     return run
 
 
+def _after_width(m: LmModel) -> int:
+    """Columns of m.after when it is cut into as many rows as the weights have."""
+    return -(-m.after.size // m.params.buckets)
+
+
 #: Softmaxes to a short sum.
 _SHORT = 64
 
@@ -405,9 +458,11 @@ def train(docs: DataFrame, counts: DataFrame, p: LmParams, text: str = "text") -
     rows = docs.select(F.col(text).cast("string").alias("text"))
     classes, words = m.by_class.shape[1], p.class_words
     shared = spark.sparkContext.broadcast(m)
-    whole = _gathered(rows, _observed(shared), (p.buckets, classes + words + p.frequent_classes), np.int64)
+    edges = np.cumsum([classes, words, p.frequent_classes, _after_width(m)])
+    whole = _gathered(rows, _observed(shared, True), (p.buckets, int(edges[-1])), np.int64)
     shared.destroy()
-    by_class, by_word, own = whole[:, :classes], whole[:, classes : classes + words], whole[:, classes + words :]
+    by_class, by_word, own, after = np.split(whole, edges[:-1], 1)
+    m = dataclasses.replace(m, after=after.ravel()[: m.after.size].reshape(m.after.shape))
     # At weights of 0 every position has the base measure of its classes, or of its class's words.
     class_base = np.exp(m.class_base.astype(np.float64))[None] + 1e-12
     word_expected = own @ np.exp(m.word_base.astype(np.float64))
@@ -427,6 +482,150 @@ def train(docs: DataFrame, counts: DataFrame, p: LmParams, text: str = "text") -
     return m
 
 
+#: Tokens to a parcel, and documents; tokens to a bucket.
+_PARCEL, _PARCEL_DOCS, _BUCKET = 1 << 20, 1 << 15, 1 << 21
+#: What a row of a parcel is about: words after their words before, classes after words that aren't frequent, or the documents.
+_PAIRS, _AFTER, _DOCS = range(3)
+_PARCELS = "kind int, bucket int, parcel long, train boolean, name binary, size binary, tag binary, doc binary"
+_ANSWERS = "parcel long, kind int, doc binary, value binary"
+
+
+def _signatures(h: np.ndarray, doc: np.ndarray, first: int, last: int) -> np.ndarray:
+    """A hash of each document's tokens in their order."""
+    edge = np.searchsorted(doc, np.arange(first, last + 1))
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(h)) - edge[doc - first] + 1).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15)))])
+        return total[edge[1:]] - total[edge[:-1]]
+
+
+def _parcel(number: int, train: bool, parts: list[tuple[np.ndarray, ...]], bits: int) -> pa.RecordBatch:
+    """Rows for each bucket of words, and of classes after words, that the parcel has tokens in, and one for its documents."""
+    begin = np.cumsum([0, *(len(x[0]) for x in parts)])
+    doc = np.concatenate([x[1] + b for x, b in zip(parts, begin)]).astype(np.min_scalar_type(begin[-1]))
+    h, before, held = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+    with np.errstate(over="ignore"):
+        mixed = mix(before + np.uint64(0x9E3779B97F4A7C15))
+        after = mix(mixed[~held] + (h[~held] & _SUFFIX))
+    rows = [(_DOCS, number % (1 << bits), b"", b"", b"", np.concatenate([x[0] for x in parts]).tobytes())]
+    for kind, key, d in ((_PAIRS, h, doc), (_AFTER, after, doc[~held])):
+        order = np.argsort(key)
+        key, d = key[order], d[order]
+        tag = (mixed[order] >> np.uint64(32)).astype(np.uint32) if kind == _PAIRS else None
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        name, size = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
+        bucket = (name >> np.uint64(64 - bits)).astype(np.int64)
+        to = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(name) else first
+        for i, j in zip(to, [*to[1:], len(name)]):
+            a, b = first[i], first[j] if j < len(first) else len(key)
+            rows.append((kind, int(bucket[i]), name[i:j].tobytes(), size[i:j].tobytes(), tag[a:b].tobytes() if tag is not None else b"", d[a:b].tobytes()))
+    kinds, buckets, *binary = zip(*rows)
+    n = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array([number] * n, pa.int64()), pa.array([train] * n), *(pa.array(x, pa.binary()) for x in binary)],
+        ["kind", "bucket", "parcel", "train", "name", "size", "tag", "doc"],
+    )
+
+
+def _sent(model, bits: int):
+    """Parcels of the tokens that the softmaxes don't model word by word, each with the word before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: LmModel = model.value
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
+        waiting: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        for batch in batches:
+            out, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for held_out, parts in waiting.items():
+                for h, doc, first, last in _chunks([t for t, x in zip(texts, out) if x == held_out], m.params):
+                    frequent = _look(m.words, h)[1]
+                    other = np.flatnonzero(~frequent)
+                    before = np.zeros(len(h), np.uint64)
+                    before[1:] = np.where(doc[1:] == doc[:-1], h[:-1], np.uint64(0))
+                    # The first word of a text, and one after a frequent word: m.after has what comes after.
+                    held = np.ones(len(h), bool)
+                    held[1:] = (doc[1:] != doc[:-1]) | frequent[:-1]
+                    parts.append((_signatures(h, doc, first, last), doc[other] - first, h[other], before[other], held[other]))
+                    if sum(len(x[2]) for x in parts) >= _PARCEL or sum(len(x[0]) for x in parts) >= _PARCEL_DOCS:
+                        yield _parcel(next(numbers), not held_out, parts, bits)
+                        parts.clear()
+        for held_out, parts in waiting.items():
+            if parts:
+                yield _parcel(next(numbers), not held_out, parts, bits)
+
+    return run
+
+
+def _sums(name: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry the sum of n over the entries of the same name."""
+    order = np.argsort(name)
+    x = name[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    out = np.empty(len(n), n.dtype)
+    out[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(x))))
+    return out
+
+
+def _answered(suffix_norm: np.ndarray, prior: float):
+    """What the tokens of a bucket add to the log10 probabilities of their documents, parcel by parcel.
+
+    A word's probability in its class is (c(before, word) + prior * u) / (c(before, class) + prior), u being its
+    unigram there, which the scores have already: a pair adds what it has more than prior * u, a class after a word
+    takes what it has more than prior. After frequent words the scores have taken that already.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        kind, parcels = key[0].as_py(), rows["parcel"].to_pylist()
+        docs = [x.as_buffer() for x in rows["doc"]]
+        if kind == _DOCS:
+            return pa.table({"parcel": rows["parcel"], "kind": pa.array([kind] * len(docs), pa.int32()), "doc": rows["doc"], "value": pa.array([b""] * len(docs), pa.binary())})
+        names, sizes = ([np.frombuffer(x.as_buffer(), t) for x in rows[c]] for c, t in (("name", np.uint64), ("size", np.uint32)))
+        train = np.repeat(rows["train"].to_numpy().astype(np.int64), [len(x) for x in names])
+        name, size = np.concatenate(names), np.concatenate(sizes).astype(np.int64)
+        seen = _sums(name, size * train)
+        if kind == _AFTER:
+            value = np.repeat(-np.log10(1 + seen / prior), size)
+        else:
+            unigram = (seen + 0.5) * np.exp(-suffix_norm[(name & _SUFFIX).astype(np.int64)])
+            tag = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["tag"]]).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                pair = mix(np.repeat(name, size) + tag * np.uint64(0x9E3779B97F4A7C15))
+            value = np.log10(1 + _sums(pair, np.repeat(train, size)) / np.repeat(prior * unigram, size))
+        got, a = [], 0
+        for parcel, buffer, x in zip(parcels, docs, sizes):
+            n = int(x.sum())
+            doc = np.frombuffer(buffer, f"u{len(buffer) // n}")
+            total = np.bincount(doc, value[a : a + n])
+            at = np.flatnonzero(total)
+            if len(at):
+                got.append((parcel, kind, at.astype(np.uint16 if len(total) <= 1 << 16 else np.uint32).tobytes(), total[at].astype(np.float32).tobytes()))
+            a += n
+        columns = list(zip(*got)) or [[]] * 4
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("parcel", "kind", "doc", "value"), columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))})
+
+    return run
+
+
+def _opened(rows: pa.Table) -> pa.Table:
+    """The sums of a parcel's documents, by their signatures."""
+    kind = rows["kind"].to_numpy()
+    documents = np.frombuffer(rows["doc"][int(np.flatnonzero(kind == _DOCS)[0])].as_buffer(), np.int64)
+    total = np.zeros(len(documents))
+    for i in np.flatnonzero(kind != _DOCS):
+        value, buffer = np.frombuffer(rows["value"][int(i)].as_buffer(), np.float32), rows["doc"][int(i)].as_buffer()
+        total[np.frombuffer(buffer, f"u{len(buffer) // len(value)}")] += value
+    return pa.table({"signature": pa.array(documents), "pairs": pa.array(total)})
+
+
+def _pairs(rows: DataFrame, model, m: LmModel, tokens: int) -> DataFrame:
+    """(signature, pairs) of every different text of rows (held_out, text): what counts of pairs of words add to its score."""
+    bits = max(6, math.ceil(math.log2(max(1, tokens) / _BUCKET)))
+    sent = rows.select("held_out", "text").mapInArrow(lean(_sent(model, bits)), _PARCELS)
+    answers = sent.groupBy("kind", "bucket").applyInArrow(_answered(m.suffix_norm, m.params.unigram_counts), _ANSWERS)
+    # Equal texts in several parcels have equal sums but for their rounding.
+    return answers.groupBy("parcel").applyInArrow(_opened, "signature long, pairs double").groupBy("signature").agg(F.max("pairs").alias("pairs"))
+
+
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LmModel = model.value
@@ -435,17 +634,21 @@ def _scored(model):
             texts = batch.column(2).to_pylist()
             n = np.zeros((4, len(texts)))
             rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            signatures = np.zeros(len(texts), np.uint64)
             for h, doc, first, last in _chunks(texts, p):
                 at, held = m.find(h)
                 c = np.where(held, m.held_c[at] if len(m.held) else 0, 0)
                 half = np.where(held, np.log10(c + 0.5), 0.0)
                 cls, place, features = _contexts(m, h, doc)
                 value = np.concatenate([_class_and_place(m, *x) for x in _slices(cls, place, features)])
-                other = np.flatnonzero(place < 0)
+                other, before = np.flatnonzero(place < 0), _before(m, cls, place, doc)
                 # The other words: (c + 0.5) over their class; of words not held the count comes later.
                 value[other] += half[other] - m.suffix_norm[(h[other] & _SUFFIX).astype(np.int64)] / _LOG10
+                after = other[before[other] >= 0]
+                value[after] -= np.log10(1 + m.after[before[after], cls[after] - p.frequent_classes] / p.unigram_counts)
                 for k, x in enumerate((None, held, half, value)):
                     n[k, first:last] = np.bincount(doc - first, x, last - first)
+                signatures[first:last] = _signatures(h, doc, first, last)
                 rest = np.flatnonzero(~held)
                 rest = rest[np.lexsort((h[rest], doc[rest]))]
                 x, d = h[rest], doc[rest]
@@ -455,8 +658,8 @@ def _scored(model):
             lengths = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(texts)))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(lengths, pa.array(x)) for x in (h, k)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([next(numbers) for _ in texts], pa.int64()), *batch.columns[:2], pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), pa.array(n[3]), *lists],
-                ["row", "key", "held_out", "n_tokens", "held", "base", "model", "h", "k"],
+                [pa.array([next(numbers) for _ in texts], pa.int64()), *batch.columns[:2], pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), pa.array(n[3]), pa.array(signatures.view(np.int64)), *lists],
+                ["row", "key", "held_out", "n_tokens", "held", "base", "model", "signature", "h", "k"],
             )
 
     return run
@@ -481,7 +684,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: L
     counts = count_words(learn, params)
     m = train(learn, counts, params)
     shared = docs.sparkSession.sparkContext.broadcast(m)
-    done = rows.mapInArrow(lean(_scored(shared)), f"row long, key {kind}, held_out boolean, n_tokens long, held long, base double, model double, h array<long>, k array<long>")
+    done = rows.mapInArrow(lean(_scored(shared)), f"row long, key {kind}, held_out boolean, n_tokens long, held long, base double, model double, signature long, h array<long>, k array<long>")
     done = materialize(done, "lm-scored")
     rest = done.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "k")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"))
     rest = rest.join(counts.select("h", "c"), "h", "left").groupBy("row").agg(
@@ -489,8 +692,13 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", params: L
     )
     norm = math.log10(m.tokens + 0.5 * (m.distinct + 1))
     out = done.drop("h", "k").join(rest, "row", "left")
+    if m.tokens:
+        pairs = materialize(_pairs(rows, shared, m, done.agg(F.sum("n_tokens")).first()[0]), "lm-pairs")
+        out = out.join(pairs, "signature", "left")
+    else:
+        out = out.withColumn("pairs", F.lit(0.0))
     extra = F.coalesce("rest", F.lit(0.0))
     return out.select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("held") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("model") + extra).alias("score"),
+        (F.col("base") + extra - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("model") + extra + F.coalesce("pairs", F.lit(0.0))).alias("score"),
     )

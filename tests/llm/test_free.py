@@ -404,6 +404,56 @@ def test_lm_segment_sums(n, width, top):
     assert sorted(at.tolist()) == sorted(set(rows.ravel().tolist())) and np.allclose(sums, want[at])
 
 
+def test_lm_models_equally_frequent_words_up_to_its_size(spark):
+    """More words of one count than workers hold: those with the smaller hashes are held and modelled all the same."""
+    rows = docs(spark, *[(i, " ".join(f"w{k}" for k in range(150))) for i in range(12)])
+    p = maxent_lm.LmParams(frequent_classes=4, class_words=8, suffix_classes=4, buckets=64, held_counts=100)
+    counts = maxent_lm.count_words(rows, p)
+    m = maxent_lm._start(counts, p)
+    by_rank = sorted((-r["c"], r["h"] % 2**64) for r in counts.collect())
+    assert len(by_rank) == 151 and m.held.tolist() == sorted(h for _, h in by_rank[:100]) and m.words.tolist() == sorted(h for _, h in by_rank[:32])
+
+
+def test_lm_every_pair_of_words_counts(spark, monkeypatch):
+    """What pairs of words add to a score, text by text, against plain counts; by parcels of few documents."""
+    monkeypatch.setattr(maxent_lm, "_PARCEL_DOCS", 3)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randrange(60))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:9], *(f"{t} unseen{i}" for i, t in enumerate(texts[:9])), "", None])]
+    p = maxent_lm.LmParams(frequent_classes=2, class_words=3, suffix_classes=4, buckets=32, held_counts=20, unigram_counts=3.0, chunk=300)
+    frame, held = docs(spark, *rows), {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    learn = spark.createDataFrame([(i, t) for i, t in rows if not held[i]], "doc_id long, text string")
+    m = maxent_lm._start(maxent_lm.count_words(learn, p), p)
+    frequent, tokens = set(m.words.tolist()), {i: next(maxent_lm._chunks([t], p))[0].tolist() for i, t in rows}
+    pairs = {i: [(a, b) for a, b in zip([None, *t], t) if b not in frequent] for i, t in tokens.items()}
+    c, both, after = Counter(), Counter(), Counter()
+    for i in (i for i, _ in rows if not held[i]):
+        for a, b in pairs[i]:
+            c[b] += 1
+            both[a, b] += 1
+            after[a, b & 63] += 1
+
+    def added(a, b):
+        u = 3 * (c[b] + 0.5) / math.exp(m.suffix_norm[b & 63])
+        return math.log10((both[a, b] + u) / (after[a, b & 63] + 3) / (u / 3))
+
+    # In a class after a word the probabilities of all words, and of an unseen one, are 1.
+    for a, s in [*after][:40]:
+        words = [w for w in c if w & 63 == s]
+        assert math.isclose(sum((both[a, w] + 3 * x) / (after[a, s] + 3) for w, x in [*((w, (c[w] + 0.5) / math.exp(m.suffix_norm[s])) for w in words), (0, 0.5 / math.exp(m.suffix_norm[s]))]), 1)
+    score = lambda q: {r["doc_id"]: r["score"] for r in maxent_lm.score(frame, params=q).collect()}
+    got, plain = score(p), score(dataclasses.replace(p, unigram_counts=1e15))
+    assert got.keys() == held.keys() and len(c) > 200 and any(both[x] > 1 for i in got if held[i] for x in pairs[i])
+    assert all(math.isclose(got[i] - plain[i], sum(added(a, b) for a, b in pairs[i]), abs_tol=1e-3) for i in got)
+
+
+def test_lm_gains_by_pairs_of_words(spark):
+    """Words beyond the softmaxes are scored after the word before: held-out texts gain by it (0.34 a token without)."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = [r for r in maxent_lm.score(rows).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.5
+
+
 def test_lm_scores_do_not_depend_on_the_partitioning(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     one, many = ({r["doc_id"]: r for r in maxent_lm.score(rows.repartition(n, "doc_id")).collect()} for n in (1, 16))
