@@ -7,6 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lateweave.operators import planning
+from lateweave.plans import registry
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -23,3 +26,19 @@ def test_a_sample_sorts_only_the_border_of_its_hashes(spark):
     same = spark.createDataFrame([(7,)] * 9 + [(8,)], "pid long")
     assert planning.sample_pids_by_hash(same, 5).count() == 5 and planning.sample_pids_by_hash(same, 99).count() == 10
     assert planning.sample_pids_by_hash(same.where("pid < 0"), 5).count() == 0
+
+
+def test_maxsim_reads_every_passage_once(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = registry.maxsim(spark, DATA)
+    assert "BroadcastNestedLoopJoin" not in plan(df) and "CartesianProduct" not in plan(df)
+    v = np.array([x for _, x in sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect())], np.float64)
+    want = {(q, p + 1): (v[8 * p : 8 * p + 8] @ v[q : q + 4].T).max(0).sum() for q in range(0, len(v), 50) for p in range(-(-len(v) // 8))}
+    try:
+        # Passages that lie in several batches, and products in blocks.
+        for size in (old, "3", "8", "20"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r["qid"], r["pid"]): r["score"] for r in registry.maxsim(spark, DATA).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
