@@ -6,8 +6,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lateweave.operators import planning
+from lateweave.operators import kmeans, planning
 from lateweave.plans import registry
+from lateweave.searcher import Searcher
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,3 +43,23 @@ def test_maxsim_reads_every_passage_once(spark):
             assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_equal_points_are_one_weighted_point(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(30, 8)).astype(np.float32)
+    points = spark.createDataFrame([(i, kinds[k].tolist()) for i, k in enumerate(rng.integers(0, 30, 400))], "eid long, embedding array<float>").cache()
+    first = kmeans.first_centroids(points, 40)
+    some = kmeans.distinct(points)
+    assert some.count() == 30
+    a, b = (np.array([r["vector"] for r in kmeans.fit(p, first, count=n, max_iters=3, tol=0.0)[0].orderBy("cid").collect()]) for p, n in ((points, None), (some, "n")))
+    assert a.shape == (40, 8) and np.allclose(a, b)
+
+
+def test_many_queries_make_no_rows_of_candidates(spark, monkeypatch):
+    vectors, searcher = registry.fx.query_vectors(spark, DATA), Searcher(spark, registry.stored_index(spark, DATA))
+    whole = {(r["qid"], r["rank"], r["pid"], round(r["score"], 9)) for r in searcher.search_vectors(vectors, 4).collect()}
+    monkeypatch.setattr("lateweave.searcher.FEW_VECTORS", 5)
+    many = searcher.search_vectors(vectors, 4)
+    assert "Join" not in plan(many)
+    assert {(r["qid"], r["rank"], r["pid"], round(r["score"], 9)) for r in many.collect()} == whole
