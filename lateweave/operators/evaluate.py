@@ -10,15 +10,22 @@ from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, row by row in numpy."""
-    if not a or not b:
-        return 0
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
-    row = np.zeros(len(y) + 1, np.int64)
-    for c in x:
-        step = np.where(y == c, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
-    return int(row[-1])
+    """Length of the longest common subsequence: a row of the table is one large integer, made from the row before by an addition.
+
+    A bit is 0 where the length grows along the longer text; the shorter one gives the rows.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or not a:
+        return len(a)
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(a)}
+    whole = (1 << len(b)) - 1
+    row = whole
+    for c in a:
+        if found := row & places[c]:
+            row = (row + found | row - found) & whole
+    return len(b) - row.bit_count()
 
 
 def lcs_distance(a: str | None, b: str | None) -> float:
