@@ -1,12 +1,16 @@
 """Steps whose cost must grow no faster than their input, on small tables."""
 
 import hashlib
+import random
 import re
+import time
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lateweave.operators import kmeans, planning
+from lateweave.operators import codec as coding
+from lateweave.operators import evaluate, kmeans, planning
 from lateweave.plans import registry
 from lateweave.searcher import Searcher
 
@@ -63,3 +67,33 @@ def test_many_queries_make_no_rows_of_candidates(spark, monkeypatch):
     many = searcher.search_vectors(vectors, 4)
     assert "Join" not in plan(many)
     assert {(r["qid"], r["rank"], r["pid"], round(r["score"], 9)) for r in many.collect()} == whole
+
+
+def test_lcs_of_long_texts_is_its_definition():
+    rng = random.Random(3)
+    for n, m in ((0, 4), (1, 1), (7, 40), (65, 64), (130, 90)):
+        a, b = ("".join(rng.choice("abcé\U0001f600") for _ in range(k)) for k in (n, m))
+        row = [0] * (m + 1)
+        for c in a:
+            row = [0, *accumulate((max(row[j + 1], row[j] + 1 if b[j] == c else 0) for j in range(m)), max)]
+        assert evaluate.lcs_length(a, b) == evaluate.lcs_length(b, a) == row[-1]
+    a, b = ("".join(rng.choices("abcdefgh ", k=20_000)) for _ in range(2))
+    began = time.process_time()
+    assert 8_000 < evaluate.lcs_length(a, b) < 20_000
+    assert time.process_time() - began < 0.5
+
+
+def test_a_chunk_is_written_by_one_task(spark):
+    path = registry.stored_index(spark, DATA)
+    files = spark.read.parquet(f"{path}/compressed").select("chunk_id", F.input_file_name().alias("f")).distinct().groupBy("chunk_id").count()
+    assert {r["count"] for r in files.collect()} == {1}
+
+
+def test_a_codec_is_fitted_without_one_buffer_of_all_entries(spark, monkeypatch):
+    monkeypatch.setattr(coding.F, "percentile", None)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=999), np.zeros(300), -rng.random(50) * 1e-9, [5.0, -7.0]])
+    rows = spark.createDataFrame([(part.tolist(),) for part in np.array_split(x, 50)], "residual array<double>")
+    codec = coding.fit(rows, 2)
+    assert np.allclose(codec.cutoffs + codec.weights, np.quantile(x, [0.25, 0.5, 0.75, 0.125, 0.375, 0.625, 0.875]), rtol=1e-12, atol=0)
+    assert np.isclose(codec.avg_residual, np.abs(x).mean())
